@@ -2,16 +2,34 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
 import uuid
+import zipfile
 from dataclasses import dataclass
+from pathlib import Path
 
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 
+def ship(spark: SparkSession) -> None:
+    """Send this package to the Python workers, once per application: they need not have it installed."""
+    context, package = spark.sparkContext, Path(__file__).parent
+    if getattr(context, "_driftline_shipped", False):
+        return
+    handle, path = tempfile.mkstemp(prefix="driftline-", suffix=".zip")
+    os.close(handle)
+    with zipfile.ZipFile(path, "w") as out:
+        for file in sorted(package.rglob("*.py")):
+            out.write(file, file.relative_to(package.parent))
+    context.addPyFile(path)
+    context._driftline_shipped = True
+
+
 def table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFrame:
     """One parquet table of a data folder, narrowed to ``columns`` if any are named."""
+    ship(spark)
     df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
     return df.select(*columns) if columns else df
 

@@ -6,6 +6,8 @@ import os
 
 from pyspark.sql import SparkSession
 
+from driftline.runtime import ship
+
 
 def local_session(cores: int | str = 8, **conf: str) -> SparkSession:
     os.environ.setdefault("TZ", "UTC")
@@ -23,4 +25,5 @@ def local_session(cores: int | str = 8, **conf: str) -> SparkSession:
         builder = builder.config(key, value)
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
+    ship(spark)
     return spark
