@@ -114,3 +114,26 @@ with recursive links as (
 select candid, min(lab) as group_candid from reach group by candid
 """,
 }
+
+
+def _scored(spark, sf_dir):
+    from driftline.llm.toxicity import fit, score
+
+    documents = table(spark, sf_dir, "documents", "doc_id", "source", "text")
+    model, cut = fit(documents, table(spark, sf_dir, "doc_labels", "doc_id", "toxic"))
+    return score(documents, ["doc_id", "source"], "text", model), cut
+
+
+def p9_found(spark, sf_dir):
+    scored, cut = _scored(spark, sf_dir)
+    return scored.where(F.col("score") >= cut).select("doc_id")
+
+
+def p9_rates(spark, sf_dir):
+    """Documents, cases and their share per source; documents without a source are a source of their own."""
+    scored, cut = _scored(spark, sf_dir)
+    found = (F.col("score") >= cut).cast("int")
+    return scored.groupBy("source").agg(F.count(F.lit(1)).alias("n_docs"), F.sum(found).alias("n_found"), F.avg(found).alias("rate"), F.avg("score").alias("mean_score"))
+
+
+QUERIES |= {"p9_found": p9_found, "p9_rates": p9_rates}
