@@ -1,6 +1,6 @@
 """All plan modules of the core."""
 
-from driftline.plans import training
+from driftline.plans import linking, training
 
-FLAGSHIP = "p3_found"
-MODULES = [training]
+FLAGSHIP = "intra_pairs_mag"
+MODULES = [training, linking]

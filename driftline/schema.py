@@ -90,13 +90,16 @@ def unique_alerts(spark, sf_dir: str, *more: str) -> DataFrame:
     return kept.where(sane).withColumn("ra", normal_ra("ra")).select(*names)
 
 
+def finite_sql(*columns: str) -> str:
+    """DuckDB's test for finite values by their text: its statistics of a file leave NaN out, so ``isnan`` may be folded away."""
+    return " and ".join(f"cast({c} as varchar) not in ('nan', 'inf', '-inf')" for c in columns)
+
+
 #: The same view for DuckDB, as a common table expression ``a``.
-ALERTS_SQL = """a as (
+ALERTS_SQL = f"""a as (
   select * replace (case when ra < 0 then ra + 360 else ra end as ra) from (
     select *, row_number() over (partition by candid order by received_at nulls first, delivery_id nulls first) as rank from alerts)
-  where rank = 1 and abs(ra) < 'infinity'::double and abs("dec") < 'infinity'::double and abs(jd) < 'infinity'::double
-    and abs(magpsf) < 'infinity'::double and not isnan(ra) and not isnan("dec") and not isnan(jd) and not isnan(magpsf)
-    and nid is not null and fid is not null)"""
+  where rank = 1 and {finite_sql('ra', '"dec"', 'jd', 'magpsf')} and nid is not null and fid is not null)"""
 
 
 def unique_trajectories(spark, sf_dir: str) -> DataFrame:
@@ -107,10 +110,9 @@ def unique_trajectories(spark, sf_dir: str) -> DataFrame:
     return real.withColumn("ra", normal_ra("ra")).select("trajectory_id", *POINT_COLUMNS).dropDuplicates(["trajectory_id", "candid"])
 
 
-TRAJECTORIES_SQL = """t as (
+TRAJECTORIES_SQL = f"""t as (
   select trajectory_id, candid, any_value(case when ra < 0 then ra + 360 else ra end) as ra, any_value("dec") as "dec", any_value(jd) as jd,
          any_value(nid) as nid, any_value(fid) as fid, any_value(magpsf) as magpsf
-  from trajectories where trajectory_id >= 0 and candid is not null and abs(ra) < 'infinity'::double and abs("dec") < 'infinity'::double
-    and abs(jd) < 'infinity'::double and abs(magpsf) < 'infinity'::double and not isnan(ra) and not isnan("dec") and not isnan(jd)
-    and not isnan(magpsf) and nid is not null and fid is not null
+  from trajectories where trajectory_id >= 0 and candid is not null and {finite_sql('ra', '"dec"', 'jd', 'magpsf')}
+    and nid is not null and fid is not null
   group by trajectory_id, candid)"""
