@@ -36,7 +36,7 @@ def magnitude_rates(points: DataFrame, label: str, floor_days: float = 1.0, with
     w = Window.partitionBy(label, "fid").orderBy("jd", "candid")
     days = F.greatest(F.col("jd") - F.lag("jd").over(w), lit(floor_days))
     rows = points.withColumn("days", days).withColumn("change", F.abs(F.col("magpsf") - F.lag("magpsf").over(w)))
-    return rows.where(F.col("days") < within_days).select(label, "candid", "fid", (F.col("change") / F.col("days")).alias("mag_rate"))
+    return rows.where(F.col("change").isNotNull() & (F.col("days") < within_days)).select(label, "candid", "fid", (F.col("change") / F.col("days")).alias("mag_rate"))
 
 
 def colours(points: DataFrame, label: str) -> DataFrame:

@@ -1,6 +1,6 @@
 """All plan modules of the core."""
 
-from driftline.plans import linking, training
+from driftline.plans import linking, training, trajectories
 
 FLAGSHIP = "intra_pairs_mag"
-MODULES = [training, linking]
+MODULES = [training, linking, trajectories]
