@@ -115,6 +115,6 @@ def mpc_line(designation: Column, jd: Column, ra: Column, dec: Column, mag: Colu
         F.when(first, "*").otherwise(" "), F.lit(" C"),
         F.rpad(observation_date(jd, mpc_compat), 17, " "),
         sexagesimal(ra, dec),
-        F.lit("         "), F.format_string("%5.1f", mag), F.lit(" "), band_letter(fid, "r"),
+        F.lit("        "), F.format_string("%5.1f", mag), F.lit(" "), band_letter(fid, "r"),
     )
     return F.concat(F.rpad(line, 77, " "), F.lit(station))

@@ -1,6 +1,6 @@
 """All plan modules of the core."""
 
-from driftline.plans import linking, training, trajectories
+from driftline.plans import generic, linking, nights, orbits, training, trajectories
 
 FLAGSHIP = "intra_pairs_mag"
-MODULES = [training, linking, trajectories]
+MODULES = [training, linking, trajectories, orbits, generic, nights]

@@ -11,6 +11,7 @@ from driftline.runtime import ship
 
 def local_session(cores: int | str = 8, **conf: str) -> SparkSession:
     os.environ.setdefault("TZ", "UTC")
+    os.environ.setdefault("OMP_NUM_THREADS", "1")  # tasks, not threads within them, share the cores
     builder = SparkSession.builder.master(f"local[{cores}]").appName("driftline")
     settings = {
         "spark.sql.shuffle.partitions": "8",

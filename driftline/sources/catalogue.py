@@ -21,8 +21,8 @@ def aliases(catalogue: DataFrame) -> DataFrame:
     """All names of each object in long form: ``principal_desig, kind, alias``; an alias counts once per kind."""
     keys = F.array(
         F.struct(F.lit("number").alias("kind"), bare_number("number").alias("alias")),
-        F.struct(F.lit("name"), F.col("name")),
-        F.struct(F.lit("principal"), F.regexp_replace("principal_desig", " ", "")),
+        F.struct(F.lit("name").alias("kind"), F.col("name").alias("alias")),
+        F.struct(F.lit("principal").alias("kind"), F.regexp_replace("principal_desig", " ", "").alias("alias")),
     )
     plain = catalogue.select("principal_desig", F.explode(keys).alias("k")).select("principal_desig", "k.kind", "k.alias")
     other = catalogue.select("principal_desig", F.lit("other").alias("kind"), F.explode("other_desigs").alias("alias"))

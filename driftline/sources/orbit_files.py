@@ -44,23 +44,27 @@ class SolverOptions:
     ephemeris_step_days: float = 1.0
     identification: bool = False
 
-    def lines(self) -> list[str]:
+    def sections(self) -> dict[str, dict[str, object]]:
         verbose = self.verbose if self.verbose in (1, 2, 3) else 1
-        triplets = self.n_triplets if self.n_triplets > 0 else 10
-        noise = self.noise_trials if self.noise_trials > 0 else 10
         kind = self.ephemeris if self.ephemeris in (0, 1, 2) else 0
-        out = [
-            f"init_orbdet.verbose={verbose}", f"init_orbdet.n_triplets={triplets}", f"init_orbdet.noise_ntrials={noise}",
-            f"operations.init_orbdet={1 if not self.identification else 2}", "operations.diffcor=1", f"operations.ident={2 if self.identification else 0}",
-            f"operations.ephem={kind}",
-        ]
+        out: dict[str, dict[str, object]] = {
+            "output": {"elements": "'KEP'"},
+            "init_orbdet": {"verbose": verbose, "n_triplets": self.n_triplets if self.n_triplets > 0 else 10, "noise.ntrials": self.noise_trials if self.noise_trials > 0 else 10},
+            "operations": {"init_orbdet": 2, "diffcor": 2, "ident": 2 if self.identification else 0, "ephem": kind},
+        }
         if kind:
             step = self.ephemeris_step_days if self.ephemeris_step_days > 0 else 1.0
-            out += [f"ephem.epoch_start=MJD {self.ephemeris_start_mjd} UTC", f"ephem.epoch_end=MJD {self.ephemeris_stop_mjd} UTC", f"ephem.step={step}"]
+            out["ephem"] = {"epoch.start": f"MJD {self.ephemeris_start_mjd} UTC", "epoch.end": f"MJD {self.ephemeris_stop_mjd} UTC", "step": f"{step}d0"}
         return out
 
+    def text(self) -> str:
+        """The option file: a line per section, its keys indented under it."""
+        return "".join(f"{name}.\n" + "".join(f"\t.{k} = {v}\n" for k, v in keys.items()) for name, keys in self.sections().items())
 
-NUMBER = re.compile(r"[+-]?\d*\.?\d+(?:[EeDd][+-]?\d+)?(?:[+-]\d{2,3})?")
+
+def solver_input(objects: list[str]) -> str:
+    """The input file that names the objects of a run."""
+    return "".join(f"{name}\n" for name in objects)
 
 
 def number(text: str) -> float:
