@@ -66,6 +66,9 @@ def percentiles(summary: DataFrame, groups: list[str], permille: list[int], bins
         rank = F.greatest(F.lit(1), F.floor((q * F.col("n_values") + F.lit(999)) / F.lit(1000)))
         return (F.col("upto") - F.col("n") < rank) & (rank <= F.col("upto"))
 
+    # A row can be a percentile only where the share reached, in permille, grows with it (or for 0, in the first row).
+    steps = [F.floor(x * F.lit(1000) / F.col("n_values")) for x in (F.col("upto") - F.col("n"), F.col("upto"))]
+    running = running.where((steps[0] < steps[1]) | (F.col("upto") == F.col("n")))
     wanted = F.array(*[F.lit(q).cast("long") for q in permille])
     return running.withColumn("permille", F.explode(F.filter(wanted, reached))).select(
         *groups, F.col("permille").cast("int").alias("permille"), "n_values", _value(F.col("bin"), bins_per_unit).alias("value"), F.lit(0.5 / bins_per_unit).alias("max_error")
