@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 import io
+import re
 import zlib
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
-import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -22,19 +23,19 @@ KEPT = 150_000
 
 #: Signs written for letters.
 SIGNS = str.maketrans("013457@$€!ßàáâäãåçèéêëìíîïñòóôöõùúûüýÿœæ", "oieastaseisaaaaaaceeeeiiiinooooouuuuyyoa")
-LINE_END = regex.compile(r"[-=¬­]\s*\n\s*")
-HIDDEN_SIGNS = dict.fromkeys(map(ord, "​‌‍⁠﻿­¬|"))
-SPACED = regex.compile(r"(?<!\S)(?:\w[\s]){3,}\w(?!\w)")
-RUNS = regex.compile(r"(\w)\1{2,}")
-INNER = regex.compile(r"[^\w*]+|_+")
-MASKS = regex.compile(r"\*+")
+LINE_END = re.compile(r"[-=¬­]\s*\n\s*")
+HIDDEN_SIGNS = re.compile("[\u200b\u200c\u200d\u2060\ufeff\u00ad\u00ac|]")
+SPACED = re.compile(r"(?<!\S)\w\s\w\s\w\s(?:\w\s)*\w(?!\w)")
+RUNS = re.compile(r"(\w)\1{2,}")
+INNER = re.compile(r"[^\w*]+|_+")
+MASKS = re.compile(r"\*+")
 
 
 def tokens(text: str | None) -> list[str]:
     """Raw words of a text: words broken at line ends are joined, and so are words spelt with spaces."""
     if not text:
         return []
-    text = LINE_END.sub("", text).translate(HIDDEN_SIGNS)
+    text = HIDDEN_SIGNS.sub("", LINE_END.sub("", text))
     return SPACED.sub(lambda m: "".join(m[0].split()), text).split()
 
 
@@ -81,8 +82,11 @@ def initial(seed: int) -> dict[str, np.ndarray]:
     return {k: v.astype(np.float32) for k, v in p.items()}
 
 
-def _gru(a: np.ndarray, u: np.ndarray, real: np.ndarray, keep: bool) -> tuple[np.ndarray, list]:
-    """States (T, B, H) of a gated recurrent layer over projected inputs (T, B, 3H); padding leaves the state as it is."""
+def _gru(a: np.ndarray, u: np.ndarray, real: np.ndarray) -> tuple[np.ndarray, list]:
+    """States (T, B, H) of a gated recurrent layer over projected inputs (T, B, 3H), and what its gradient needs.
+
+    Padding leaves the state as it is.
+    """
     steps, batch, h3 = a.shape
     h3 //= 3
     h, out, saved = np.zeros((batch, h3), np.float32), np.empty((steps, batch, h3), np.float32), []
@@ -91,15 +95,38 @@ def _gru(a: np.ndarray, u: np.ndarray, real: np.ndarray, keep: bool) -> tuple[np
         zr = _sigmoid(a[t, :, : 2 * h3] + r[:, : 2 * h3])
         z, g = zr[:, :h3], zr[:, h3:]
         n = np.tanh(a[t, :, 2 * h3 :] + g * r[:, 2 * h3 :])
-        new = n + z * (h - n)
         m = real[t][:, None]
-        new = np.where(m, new, h)
-        if keep:
-            saved.append((h, z, g, n, r[:, 2 * h3 :], m))
-        out[t] = h = new
+        saved.append((h, z, g, n, r[:, 2 * h3 :], m))
+        out[t] = h = np.where(m, n + z * (h - n), h)
     return out, saved
 
 
+def _states(inputs: list[np.ndarray], weights: list[np.ndarray], real: np.ndarray) -> np.ndarray:
+    """The same states without gradients: each gate has arrays of its own, so all steps run over whole rows of memory."""
+    steps, batch, width = inputs[0].shape
+    h, out, whole = np.zeros((batch, width), np.float32), np.empty((steps, batch, width), np.float32), real.all(axis=1)
+    for t in range(steps):
+        z, g = h @ weights[0], h @ weights[1]
+        for gate, a in ((z, inputs[0]), (g, inputs[1])):
+            gate += a[t]
+            np.negative(gate, out=gate)
+            np.exp(gate, out=gate)
+            gate += 1
+            np.reciprocal(gate, out=gate)
+        n = h @ weights[2]
+        n *= g
+        n += inputs[2][t]
+        np.tanh(n, out=n)
+        new = out[t]
+        np.subtract(h, n, out=new)
+        new *= z
+        new += n
+        if not whole[t]:
+            np.copyto(new, h, where=~real[t][:, None])
+        h = new
+    return out
+
+
 def _gru_back(dout: np.ndarray, u: np.ndarray, saved: list) -> tuple[np.ndarray, np.ndarray]:
     steps, batch, h3 = dout.shape
     da, du, dh = np.zeros((steps, batch, 3 * h3), np.float32), np.zeros_like(u), np.zeros((batch, h3), np.float32)
@@ -117,18 +144,22 @@ def _gru_back(dout: np.ndarray, u: np.ndarray, saved: list) -> tuple[np.ndarray,
     return da, du
 
 
-def _forward(p: dict, af: np.ndarray, ab: np.ndarray, real: np.ndarray, keep: bool = False):
-    """Logits of windows; af, ab: projected inputs (T, B, 3H) of both directions, real: (T, B)."""
-    hf, sf = _gru(af, p["uf"], real, keep)
-    hb, sb = _gru(ab[::-1], p["ub"], real[::-1], keep)
-    h = np.concatenate([hf, hb[::-1]], axis=2)
+def _logits(p: dict, h: np.ndarray, real: np.ndarray) -> tuple[np.ndarray, tuple]:
+    """Attention pooling over states (T, B, 2H) of both directions, and the logit of each window."""
     k = np.tanh(h @ p["aw"] + p["ab"])
-    e = np.where(real, k @ p["av"], -30.0).astype(np.float32)
+    e = np.where(real, k @ p["av"], np.float32(-30))
     e = np.exp(e - e.max(axis=0))
     att = e / e.sum(axis=0)
     pooled = np.einsum("tb,tbh->bh", att, h)
-    logit = pooled @ p["ow"] + p["ob"][0]
-    return logit, (h, k, att, pooled, sf, sb)
+    return pooled @ p["ow"] + p["ob"][0], (h, k, att, pooled)
+
+
+def _forward(p: dict, af: np.ndarray, ab: np.ndarray, real: np.ndarray) -> tuple[np.ndarray, tuple]:
+    """Logits of windows; af, ab: projected inputs (T, B, 3H) of both directions, real: (T, B)."""
+    hf, sf = _gru(af, p["uf"], real)
+    hb, sb = _gru(ab[::-1], p["ub"], real[::-1])
+    logit, kept = _logits(p, np.concatenate([hf, hb[::-1]], axis=2), real)
+    return logit, (*kept, sf, sb)
 
 
 def _back(p: dict, dlogit: np.ndarray, kept: tuple) -> tuple[dict, np.ndarray, np.ndarray]:
@@ -169,7 +200,7 @@ class Trainer:
         at = np.zeros(index.shape, np.int64)
         at[real] = place
         at, mask = at.T, real.T
-        logit, kept = _forward(p, (x @ p["xf"] + p["bf"])[at], (x @ p["xb"] + p["bb"])[at], mask, keep=True)
+        logit, kept = _forward(p, (x @ p["xf"] + p["bf"])[at], (x @ p["xb"] + p["bb"])[at], mask)
         dlogit = ((_sigmoid(logit) - y) * weight / max(1.0, weight.sum())).astype(np.float32)
         grads, daf, dab = _back(p, dlogit, kept)
         flat, words = mask.ravel(), at.ravel()
@@ -204,44 +235,53 @@ def unpacked(data: bytes) -> dict[str, np.ndarray]:
 
 
 class Scorer:
-    """Window scores of batches of texts; projected inputs of words are kept by raw word."""
+    """Window scores of batches of texts; projected inputs of words are kept by raw word, an array per gate and direction."""
 
     def __init__(self, p: dict):
         self.p, self.place = p, {}
-        self.proj = np.zeros((1024, 6 * HIDDEN), np.float32)
+        self.proj = np.zeros((6, 1024, HIDDEN), np.float32)
+        self.gates = [[np.ascontiguousarray(p[u][:, k * HIDDEN : (k + 1) * HIDDEN]) for k in range(3)] for u in ("uf", "ub")]
 
     def learn(self, words: list[str]) -> None:
         if len(self.place) + len(words) > KEPT:
             self.place.clear()
         start, p = len(self.place), self.p
-        while len(self.proj) < start + len(words):
-            self.proj = np.concatenate([self.proj, np.zeros_like(self.proj)])
+        while self.proj.shape[1] < start + len(words):
+            self.proj = np.concatenate([self.proj, np.zeros_like(self.proj)], axis=1)
         for i in range(0, len(words), 8192):
             some = words[i : i + 8192]
             wid, gid = features([normal(w) for w in some])
             x = p["word"][wid] + p["gram"][gid].sum(axis=1)
-            self.proj[start + i : start + i + len(some)] = np.concatenate([x @ p["xf"] + p["bf"], x @ p["xb"] + p["bb"]], axis=1)
+            both = np.concatenate([x @ p["xf"] + p["bf"], x @ p["xb"] + p["bb"]], axis=1)
+            self.proj[:, start + i : start + i + len(some)] = both.reshape(len(some), 6, HIDDEN).transpose(1, 0, 2)
         self.place.update(zip(words, range(start, start + len(words))))
 
+    def logits(self, words: np.ndarray, real: np.ndarray) -> np.ndarray:
+        """Logits of windows given as places of words (T, B)."""
+        a = [self.proj[k].take(words, axis=0, mode="clip") for k in range(6)]
+        hf = _states(a[:3], self.gates[0], real)
+        hb = _states([x[::-1] for x in a[3:]], self.gates[1], real[::-1])
+        return _logits(self.p, np.concatenate([hf, hb[::-1]], axis=2), real)[0]
+
     def score(self, texts: list[str | None]) -> np.ndarray:
         """The highest window score of each text; 0 for null, empty and blank ones."""
         result = np.zeros(len(texts))
         for i in range(0, len(texts), 256):
             lists = [tokens(t) for t in texts[i : i + 256]]
-            new = list(set().union(*lists).difference(self.place))
+            distinct = set().union(*lists)
+            new = list(distinct.difference(self.place))
             if new:
                 kept = len(self.place)
                 self.learn(new)
-                if len(self.place) < kept + len(new):  # emptied: all words of these texts are new
-                    self.learn(list(set().union(*lists).difference(self.place)))
+                if len(self.place) < kept + len(new):  # emptied: what these texts share with earlier ones is new again
+                    self.learn(list(distinct.difference(self.place)))
             lengths = np.array([len(x) for x in lists])
-            get = self.place.__getitem__
-            flat = np.fromiter((get(w) for x in lists for w in x), np.int64, int(lengths.sum()))
+            flat = np.fromiter(map(self.place.__getitem__, chain.from_iterable(lists)), np.int64, int(lengths.sum()))
             at, real, doc = windows(lengths)
+            order = np.argsort(~real[:, -1], kind="stable")  # full windows first: they need no mask
             for j in range(0, len(doc), 1024):
-                rows = slice(j, j + 1024)
-                a = self.proj[flat[at[rows]].T]
-                logit, _ = _forward(self.p, a[:, :, : 3 * HIDDEN], a[:, :, 3 * HIDDEN :], real[rows].T)
+                rows = order[j : j + 1024]
+                logit = self.logits(flat[at[rows]].T, real[rows].T)
                 np.maximum.at(result, doc[rows] + i, _sigmoid(logit.astype(np.float64)))
         return result
 
