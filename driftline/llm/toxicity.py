@@ -22,7 +22,7 @@ WINDOW, STRIDE = 24, 16
 KEPT = 150_000
 
 #: Signs written for letters.
-SIGNS = str.maketrans("013457@$€!ßàáâäãåçèéêëìíîïñòóôöõùúûüýÿœæ", "oieastaseisaaaaaaceeeeiiiinooooouuuuyyoa")
+SIGNS = str.maketrans("013457@$€ßàáâäãåçèéêëìíîïñòóôöõùúûüýÿœæ", "oieastasesaaaaaaceeeeiiiinooooouuuuyyoa")
 LINE_END = re.compile(r"[-=¬­]\s*\n\s*")
 HIDDEN_SIGNS = re.compile("[\u200b\u200c\u200d\u2060\ufeff\u00ad\u00ac|]")
 SPACED = re.compile(r"(?<!\S)\w\s\w\s\w\s(?:\w\s)*\w(?!\w)")
@@ -41,10 +41,10 @@ def tokens(text: str | None) -> list[str]:
 
 def normal(word: str) -> str:
     """A raw word in one spelling: lower case, signs as letters, no inner punctuation, no letter three times."""
-    word = MASKS.sub("*", INNER.sub("", word.lower()))
-    if word.isdigit():
+    word = word.lower()
+    if INNER.sub("", word).isdigit():
         return "0"
-    return RUNS.sub(r"\1", word.translate(SIGNS))
+    return RUNS.sub(r"\1", MASKS.sub("*", INNER.sub("", word.translate(SIGNS))))
 
 
 def features(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
