@@ -132,7 +132,7 @@ def run_detectable(points: DataFrame, label: str, window: int, least: int) -> Da
     alone = F.coalesce(F.lag("long").over(order), F.lit(False)) & F.coalesce(F.lead("long").over(order), F.lit(False))
     marked = gaps.withColumn("long", long).withColumn("masked", F.col("long") | alone)
     runs = marked.withColumn("run", F.count_if("masked").over(order.rowsBetween(Window.unboundedPreceding, 0))).where(~F.col("masked"))
-    longest = runs.groupBy(label, "run").agg(F.count(F.lit(1)).alias("k")).groupBy(label).agg(F.max("k").alias("longest"))
+    longest = runs.groupBy(label, "run").agg(F.count(F.lit(1)).alias("_length")).groupBy(label).agg(F.max("_length").alias("longest"))
     return longest.where(F.col("longest") * 2 >= least).select(label, F.col("longest").cast("long").alias("longest"))
 
 
