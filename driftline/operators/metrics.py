@@ -89,6 +89,37 @@ def orbit_type(a: Column, e: Column) -> Column:
     )
 
 
+def class_label(path: Column) -> Column:
+    """Short class of a hierarchy written ``MB>Outer``: belts by their first word, near-Earth and special classes by the second."""
+    part = F.split(path, ">")
+    first, second = F.get(part, F.lit(0)), F.get(part, F.lit(1))
+    return F.when((first == "MB") & second.isin("Middle", "Outer", "Inner"), first).when(first.isin("MB", "NEA"), F.coalesce(second, first)).otherwise(first)
+
+
+def reduced_chi(residuals: Column) -> Column:
+    """Mean of an array of residuals; null for an empty one or where a residual is missing (-1)."""
+    total = F.aggregate(residuals, lit(0), lambda x, y: x + y)
+    return F.when((F.size(residuals) > 0) & ~F.exists(residuals, lambda x: x == -1), total / F.nullif(F.size(residuals), F.lit(0)))
+
+
+def efficiency(named: DataFrame, detectable_objects: DataFrame, label: str) -> DataFrame:
+    """One row: detectable objects, trajectories, pure ones, objects with a pure trajectory, and percentages.
+
+    ``named`` has ``trajectory_id, names, label`` per trajectory: the number of different labels on it and one of them.
+    """
+    per = named.select("trajectory_id", (F.col("names") == 1).alias("pure"), F.when(F.col("names") == 1, F.col(label)).alias(label))
+    found = per.where("pure").select(label).distinct().withColumn("found", F.lit(True))
+    objects = detectable_objects.select(label).distinct().join(found, label, "left")
+    rows = objects.select(F.lit(1).alias("detectable"), F.when(F.col("found"), 1).otherwise(0).alias("unique"), F.lit(0).alias("trajectories"), F.lit(0).alias("pure"))
+    rows = rows.unionByName(per.select(F.lit(0).alias("detectable"), F.lit(0).alias("unique"), F.lit(1).alias("trajectories"), F.col("pure").cast("int").alias("pure")))
+    sums = rows.agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(f"n_{c}") for c in ("detectable", "unique", "trajectories", "pure")])
+
+    def percent(a: str, b: str) -> Column:
+        return F.when(F.col(b) > 0, F.col(a) * lit(100) / F.col(b)).otherwise(lit(0))
+
+    return sums.withColumns({"purity": percent("n_pure", "n_trajectories"), "efficiency": percent("n_unique", "n_detectable")})
+
+
 #: Mean errors of the elements of orbits fitted to known objects.
 USUAL_RMS = {"rms_a": 0.018712, "rms_e": 0.009554, "rms_i": 0.170369, "rms_long_node": 0.383595, "rms_arg_peric": 4.314636, "rms_mean_anomaly": 3.791175}
 

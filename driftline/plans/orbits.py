@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from driftline.functions.naming import jd_to_date, object_tag
-from driftline.functions.sky import ephemeris, galactic, lit
+from driftline.functions.sky import ephemeris, galactic, lit, separation
 from driftline.operators import metrics
 from driftline.operators.graph import numbered
 from driftline.operators.pairs import nearest_elements, sky_join
@@ -132,11 +132,22 @@ def ephemeris_alerts(spark, sf_dir):
     return found.groupBy(F.col("r.candid").alias("candid")).agg(F.min_by("l.trajectory_id", F.struct("sep_deg", "l.trajectory_id")).alias("trajectory_id"))
 
 
+def ephemeris_deviation(spark, sf_dir):
+    """How far fitted orbits and catalogue orbits put an object apart, 7, 30, 120 and 360 days on."""
+    known = table(spark, sf_dir, "mpcorb_extended").where("number is not null and a is not null and e < 1").select(
+        bare_number("number").alias("ssnamenr"), F.struct("a", "e", "i", "node", "peri", "m", "epoch").alias("k"))
+    both = _good(spark, sf_dir).where("e < 1").join(_named_trajectories(spark, sf_dir), "trajectory_id").join(known, "ssnamenr")
+    both = both.withColumn("offset", F.explode(F.array(*[F.lit(x) for x in (7, 30, 120, 360)]))).withColumn("jd", F.col("ref_epoch") + F.col("offset"))
+    fitted = ephemeris(*[F.col(c) for c in ELEMENTS], F.col("ref_epoch"), F.col("jd"))
+    listed = ephemeris(*[F.col(f"k.{c}") for c in ("a", "e", "i", "node", "peri", "m", "epoch")], F.col("jd"))
+    return both.select("trajectory_id", "offset", F.round(separation(*fitted[:2], *listed[:2]), 4).alias("sep_deg"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         orbit_types, orbit_score_top10, knn_elements, residuals, alias_match, not_matched, keyed_union, class_recovery, counterpart_purity, tags,
-        tagged_points, jd_dates, galactic_latitudes, mpc_lines, ephemeris_table, ephemeris_alerts,
+        tagged_points, jd_dates, galactic_latitudes, mpc_lines, ephemeris_table, ephemeris_alerts, ephemeris_deviation,
     )
 }
 

@@ -187,13 +187,33 @@ def pair_metrics(spark, sf_dir):
     return _rounded(metrics.pair_metrics(real, found))
 
 
+def efficiency_report(spark, sf_dir):
+    """How many detectable objects have a trajectory of their own, and how many trajectories are of one object."""
+    alerts = unique_alerts(spark, sf_dir, "ssnamenr").where("ssnamenr is not null")
+    points = unique_trajectories(spark, sf_dir).select(KEY, "candid").join(alerts.select("candid", "ssnamenr"), "candid")
+    named = points.groupBy(KEY).agg(F.count_distinct("ssnamenr").alias("names"), F.min("ssnamenr").alias("ssnamenr"))
+    return _rounded(metrics.efficiency(named, metrics.detectable(alerts, "ssnamenr", 6, 15), "ssnamenr"))
+
+
+def name_numbers(spark, sf_dir):
+    """Running numbers of stored names, for tools that need integers."""
+    return numbered(table(spark, sf_dir, "alerts", "ssnamenr").where("ssnamenr is not null").distinct(), ["ssnamenr"], "n")
+
+
+def first_nights(spark, sf_dir):
+    """Alerts of the first seven nights, by night and filter; the seven are the point of the query."""
+    alerts = unique_alerts(spark, sf_dir)
+    seven = alerts.select("nid").distinct().orderBy("nid").limit(7)
+    return alerts.join(seven, "nid", "left_semi").groupBy("nid", "fid").agg(F.count(F.lit(1)).alias("n"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         last_n, first_n, last_row, size_split, size_histogram, evict_state, renumber, assoc_stats, extended_table, gaps, detectable, window_membership,
         run_length_detectable, paired_nights, followed_nights, head_k, ordered_lists, speed, intra_sep, mag_rate, colour, turn_angle, position_angle,
         tracklet_gap, motion_fit, hist_cdf, scaled_magnitude, describe_stats, night_multiplicity, night_class_counts, whole_count, seeding_purity,
-        seeding_completeness, pair_metrics,
+        seeding_completeness, pair_metrics, efficiency_report, name_numbers, first_nights,
     )
 }
 
@@ -281,5 +301,13 @@ select count(*) filter (where whole) as n_complete, count(*) as n_recoverable, r
    from r full join f on r.x = f.x and r.y = f.y)
 select *, round(true_positive * 100.0::double / (true_positive + false_positive), 6) as precision, round(true_positive * 100.0::double / (true_positive + false_negative), 6) as recall,
  true_positive + false_negative as n_real from m""",
+    "efficiency_report": f"""with {ALERTS_SQL}, {_T}, x as (select * from a where ssnamenr is not null),
+ g as (select ssnamenr, nid - lag(nid) over (partition by ssnamenr order by jd, candid) as gap from x),
+ d as (select ssnamenr from g group by 1 having count(*) >= 6 and bool_and(coalesce(gap, 0) <= 15)),
+ nm as (select trajectory_id, count(distinct ssnamenr) as names, min(ssnamenr) as ssnamenr from t join x using (candid) group by 1),
+ c as (select (select count(*) from d) as n_detectable, (select count(*) from d where ssnamenr in (select ssnamenr from nm where names = 1)) as n_unique,
+   (select count(*) from nm) as n_trajectories, (select count(*) from nm where names = 1) as n_pure)
+select *, round(case when n_trajectories > 0 then n_pure * 100.0::double / n_trajectories else 0 end, 6) as purity, round(case when n_detectable > 0 then n_unique * 100.0::double / n_detectable else 0 end, 6) as efficiency from c""",
+    "name_numbers": "select ssnamenr, row_number() over (order by encode(ssnamenr)) - 1 as n from (select distinct ssnamenr from alerts where ssnamenr is not null)",
+    "first_nights": f"with {ALERTS_SQL} select nid, fid, count(*) as n from a where nid in (select distinct nid from a order by nid limit 7) group by 1, 2",
 }
-

@@ -67,6 +67,12 @@ def archive_night(alerts: DataFrame, path: str) -> None:
     alerts.withColumn("night", F.col("nid")).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("night").parquet(path)
 
 
+def write_archive(alerts: DataFrame, path: str) -> None:
+    """Alerts by year and month of their night, so that scans of months read those months only."""
+    dated = alerts.withColumns({"year": F.floor(F.col("obs_month") / 100).cast("int"), "month": F.col("obs_month") % 100})
+    dated.repartition("year", "month", F.pmod(F.xxhash64("candid"), F.lit(32))).write.mode("append").partitionBy("year", "month").parquet(path)
+
+
 def append_statistics(spark: SparkSession, path: str, night: int, figures: dict[str, float]) -> None:
     """Figures of a run as JSON lines, keyed by night; the last line of a night counts."""
     rows = [(night, k, float(v)) for k, v in figures.items()]

@@ -2,6 +2,7 @@
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
 from driftline.operators import metrics, study
 
@@ -67,3 +68,11 @@ def test_histogram_and_speed(spark):
     assert [(r.bin, r.n, round(r.cdf, 4)) for r in got] == [(0, 1, 0.3333), (1, 2, 1.0)]
     speeds = [r.speed for r in study.speeds(nights(spark, {1: [1, 2, 4]}), "k").collect()]
     assert speeds == pytest.approx([0.1, 0.1], rel=1e-2)
+
+
+def test_class_labels_and_reduced_chi(spark):
+    paths = {"MB>Outer": "MB", "MB>Hilda": "Hilda", "MB": "MB", "NEA>Apollo": "Apollo", "KBO": "KBO", "Mars-Crosser>Deep": "Mars-Crosser"}
+    df = spark.createDataFrame(list(paths.items()), "p string, want string").select(metrics.class_label(F.col("p")).alias("got"), "want")
+    assert all(r.got == r.want for r in df.collect())
+    chi = spark.createDataFrame([([1.0, 2.0],), ([],), ([1.0, -1.0],), (None,)], "r array<double>").select(metrics.reduced_chi(F.col("r")).alias("c"))
+    assert [r.c for r in chi.collect()] == [1.5, None, None, None]

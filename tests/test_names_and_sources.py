@@ -12,13 +12,14 @@ from pyspark.sql import functions as F
 from driftline import cli
 from driftline.functions import naming
 from driftline.functions.sky import difference_magnitude, ecliptic_to_galactic, ephemeris, galactic, lit, planar_angle, position_angle, separation
+from driftline.operators.follow_up import follow_up
 from driftline.operators.nightly import NightState
 from driftline.operators.orbit_fit import FAILED, OBLIQUITY_DEG, command_solver, earth, elements_position, fit_orbits, two_body_fit
 from driftline.schema import ALERT, POINT, TRAJECTORY, LinkConfig, coerced
 from driftline.sources import alerts as source
 from driftline.sources import orbit_files
 from driftline.sources.catalogue import aliases, read_catalogue
-from driftline.sources.state import StateStore, append_statistics, archive_night, statistics
+from driftline.sources.state import StateStore, append_statistics, archive_night, statistics, write_archive
 from driftline.streaming.nightly import arrivals, closed_days, run_complete, start_nightly, table_stream
 
 
@@ -91,6 +92,28 @@ def test_solver_recovers_an_orbit_and_spark_agrees_on_its_ephemeris(spark):
     assert [r.ra for r in got] == pytest.approx(ra.tolist(), abs=1e-4) and [r.dec for r in got] == pytest.approx(dec.tolist(), abs=1e-4)
 
 
+def test_follow_up_finds_the_alerts_of_an_orbit(spark):
+    def rows(times, first):
+        ra, dec = positions(EL, times, EPOCH)
+        return [(first + k, float(a), float(d), float(t), int(np.floor(t - 2457754.5 + 0.5)), 1, 18.0) for k, (a, d, t) in enumerate(zip(ra, dec, times))]
+
+    points = spark.createDataFrame([(1, *r) for r in rows(JD, 0)], f"trajectory_id long, {POINT}")
+    ahead, behind = rows(EPOCH + np.array([20.0, 27.02]), 100), rows(EPOCH - np.array([9.0, 9.03]), 200)
+    stray = [(300, ahead[0][1], ahead[0][2] + 0.5, *ahead[0][3:]), (301, ahead[0][1] + 90, ahead[0][2], *ahead[0][3:])]
+    alerts = spark.createDataFrame(rows(JD, 0) + ahead + behind + stray, POINT)
+    found, orbits = follow_up(points, fit_orbits(points), alerts, step=15, radius_arcsec=20.0, max_steps=3)
+    assert sorted(r.candid for r in found.collect()) == [*range(8), 100, 101, 200, 201]
+    assert sorted(r.candid for r in found.where("assoc_tag = 'E'").collect()) == [100, 101, 200, 201]
+    assert orbits.first().a == pytest.approx(2.7, rel=1e-3)
+
+
+def test_archive_reads_the_months_asked_for(spark, tmp_path):
+    alerts = spark.createDataFrame([(c, 201911 + c % 2) for c in range(20)], "candid long, obs_month int")
+    write_archive(alerts, f"{tmp_path}/a")
+    assert spark.read.parquet(f"{tmp_path}/a").where("year = 2019 and month = 12").count() == 10
+    assert source.archive_scan(spark, f"{tmp_path}/a", 201912, 202001).count() == 10
+
+
 def test_solver_failures_are_marked(spark):
     rows = [(1, k, 10.0, 5.0, EPOCH, 1, 1, 18.0, "I", True) for k in range(4)]
     assert fit_orbits(spark.createDataFrame(rows, TRAJECTORY)).first().a == FAILED
