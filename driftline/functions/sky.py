@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 ColumnLike = Column | str
@@ -89,41 +89,49 @@ def ecliptic_to_galactic(lon: ColumnLike, lat: ColumnLike) -> tuple[Column, Colu
 GAUSS_DEG_PER_DAY = 0.9856076686
 
 
-def kepler_position(a: Column, e: Column, inc: Column, node: Column, peri: Column, mean_anomaly: Column, epoch: Column, jd: Column, iterations: int = 12) -> tuple[Column, Column, Column]:
-    """Heliocentric ecliptic position in au of a two-body orbit: an approximation, without planets.
-
-    Kepler's equation is solved by a fixed number of Newton steps. Null for orbits that are not ellipses.
-    """
-    bound = F.when((a > 0) & (e >= 0) & (e < 1), lit(1))
+def eccentric_anomaly(a: Column, e: Column, mean_anomaly: Column, epoch: Column, jd: Column, iterations: int = 12) -> Column:
+    """Eccentric anomaly in radians by a fixed number of Newton steps; null for orbits that are not ellipses."""
+    ellipse = F.when((a > 0) & (e >= 0) & (e < 1), e)
     m = F.radians(F.pmod(mean_anomaly + lit(GAUSS_DEG_PER_DAY) / F.pow(a, lit(1.5)) * (jd - epoch), lit(360)))
-    start = m + e * F.sin(m)
-    ecc = F.aggregate(
-        F.sequence(F.lit(1), F.lit(iterations)), start, lambda x, _: x - (x - e * F.sin(x) - m) / (lit(1) - e * F.cos(x))
-    )
+    given = F.struct(m.alias("m"), ellipse.alias("e"), (m + ellipse * F.sin(m)).alias("x"))
+
+    def newton(s: Column, _: Column) -> Column:
+        step = (s["x"] - s["e"] * F.sin(s["x"]) - s["m"]) / (lit(1) - s["e"] * F.cos(s["x"]))
+        return F.struct(s["m"].alias("m"), s["e"].alias("e"), (s["x"] - step).alias("x"))
+
+    return F.aggregate(F.sequence(F.lit(1), F.lit(iterations)), given, newton, lambda s: s["x"])
+
+
+def orbit_position(a: Column, e: Column, inc: Column, node: Column, peri: Column, ecc: Column) -> tuple[Column, Column, Column]:
+    """Heliocentric ecliptic position in au at an eccentric anomaly."""
     xp, yp = a * (F.cos(ecc) - e), a * F.sqrt(lit(1) - e * e) * F.sin(ecc)
     cw, sw, cn, sn, ci, si = (f(F.radians(x)) for x in (peri, node, inc) for f in (F.cos, F.sin))
     x = (cw * cn - sw * sn * ci) * xp + (-sw * cn - cw * sn * ci) * yp
     y = (cw * sn + sw * cn * ci) * xp + (-sw * sn + cw * cn * ci) * yp
-    z = (sw * si) * xp + (cw * si) * yp
-    return bound * x, bound * y, bound * z
+    return x, y, (sw * si) * xp + (cw * si) * yp
 
 
 #: Mean elements of the Earth-Moon barycentre at J2000 (a, e, mean anomaly, perihelion longitude).
 EARTH = (1.00000261, 0.01671123, 357.52688973, 102.93768193)
 
 
-def earth_position(jd: Column) -> tuple[Column, Column, Column]:
-    a, e, m, peri = (lit(x) for x in EARTH)
-    return kepler_position(a, e, lit(0), lit(0), peri, m, lit(2451545.0), jd)
+def with_ephemeris(df: DataFrame, elements: list[str], epoch: str, jd: str, prefix: str = "") -> DataFrame:
+    """Add geocentric ``ra``, ``dec`` and ``distance`` in au of two-body orbits at the time ``jd``, without light time.
 
-
-def ephemeris(a: Column, e: Column, inc: Column, node: Column, peri: Column, mean_anomaly: Column, epoch: Column, jd: Column) -> tuple[Column, Column, Column]:
-    """Geocentric ra, dec and distance in au of a two-body orbit, without light time."""
-    x, y, z = (o - g for o, g in zip(kepler_position(a, e, inc, node, peri, mean_anomaly, epoch, jd), earth_position(jd)))
+    An approximation: no planets. ``elements`` names a, e, inclination, node, perihelion and mean anomaly. The steps
+    are columns of their own, each computed once per row. Null for orbits that are not ellipses.
+    """
+    a, e, inc, node, peri, m = (F.col(c) for c in elements)
+    ea, ee, em, ep = (lit(x) for x in EARTH)
+    df = df.withColumns({"_ecc": eccentric_anomaly(a, e, m, F.col(epoch), F.col(jd)), "_earth": eccentric_anomaly(ea, ee, em, lit(2451545.0), F.col(jd))})
+    body = orbit_position(a, e, inc, node, peri, F.col("_ecc"))
+    home = orbit_position(ea, ee, lit(0), lit(0), ep, F.col("_earth"))
+    df = df.withColumns({f"_{n}": o - g for n, o, g in zip("xyz", body, home)})
     ob = math.radians(OBLIQUITY_DEG)
-    y, z = y * math.cos(ob) - z * math.sin(ob), y * math.sin(ob) + z * math.cos(ob)
-    distance = F.sqrt(x * x + y * y + z * z)
-    return F.pmod(F.degrees(F.atan2(y, x)), lit(360)), F.degrees(F.asin(z / distance)), distance
+    df = df.withColumns({"_yq": F.col("_y") * math.cos(ob) - F.col("_z") * math.sin(ob), "_zq": F.col("_y") * math.sin(ob) + F.col("_z") * math.cos(ob)})
+    df = df.withColumn("_r", F.sqrt(F.pow("_x", lit(2)) + F.pow("_yq", lit(2)) + F.pow("_zq", lit(2))))
+    sky = {"ra": F.pmod(F.degrees(F.atan2("_yq", "_x")), lit(360)), "dec": F.degrees(F.asin(F.col("_zq") / F.col("_r"))), "distance": F.col("_r")}
+    return df.withColumns({f"{prefix}{k}": v for k, v in sky.items()}).drop("_ecc", "_earth", "_x", "_y", "_z", "_yq", "_zq", "_r")
 
 
 def difference_magnitude(magpsf: Column, sigmapsf: Column, magnr: Column, sigmagnr: Column, positive: Column) -> tuple[Column, Column]:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from driftline.functions.sky import ephemeris, lit, separation
+from driftline.functions.sky import lit, separation, with_ephemeris
 from driftline.operators.orbit_fit import FAILED, Solver, fit_orbits, two_body_fit
 from driftline.operators.pairs import sky_join
 from driftline.runtime import written
@@ -18,8 +18,7 @@ NIGHT_ZERO_JD = 2457754.5
 def predicted_nights(orbits: DataFrame, first: str, last: str) -> DataFrame:
     """Positions of orbits at midnight of each night from column ``first`` to column ``last``: with ``nid, jd, ra, dec``."""
     nights = orbits.withColumn("nid", F.explode(F.sequence(F.col(first), F.col(last)))).withColumn("jd", F.col("nid") + lit(NIGHT_ZERO_JD))
-    ra, dec, _ = ephemeris(*[F.col(c) for c in ELEMENTS], F.col("ref_epoch"), F.col("jd"))
-    return nights.withColumns({"ra": ra, "dec": dec})
+    return with_ephemeris(nights, ELEMENTS, "ref_epoch", "jd")
 
 
 def matched(predicted: DataFrame, alerts: DataFrame, radius_arcsec: float, coarse_deg: float = 1.5) -> DataFrame:
@@ -29,8 +28,8 @@ def matched(predicted: DataFrame, alerts: DataFrame, radius_arcsec: float, coars
     positions are predicted for the time of the alert itself.
     """
     near = sky_join(predicted, alerts, coarse_deg, [("nid", "nid")], coarse_deg, height_deg=2 * coarse_deg)
-    ra, dec, _ = ephemeris(*[F.col(f"l.{c}") for c in ELEMENTS], F.col("l.ref_epoch"), F.col("r.jd"))
-    close = near.withColumn("sep", separation(ra, dec, "r.ra", "r.dec") * 3600).where(F.col("sep") <= radius_arcsec)
+    exact = with_ephemeris(near, [f"l.{c}" for c in ELEMENTS], "l.ref_epoch", "r.jd", "at_")
+    close = exact.withColumn("sep", separation("at_ra", "at_dec", "r.ra", "r.dec") * 3600).where(F.col("sep") <= radius_arcsec)
     best = close.groupBy(F.col("r.candid").alias("candid")).agg(F.min_by(F.struct(F.col("l.trajectory_id").alias("trajectory_id"), "r"), F.struct("sep", "l.trajectory_id")).alias("b"))
     return best.select("b.trajectory_id", *[F.col(f"b.r.{c}").alias(c) for c in POINT_COLUMNS])
 

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from driftline.functions.sky import angle_over_time, planar_angle
 from driftline.operators.graph import numbered
 from driftline.operators.pairs import night_pairs, point
+from driftline.runtime import written
 from driftline.schema import POINT_COLUMNS, LinkConfig
 
 
@@ -56,6 +57,7 @@ def grow(trajectories: DataFrame, pairs: DataFrame, additions: DataFrame, tag: s
     of rank 1 extends its trajectory; every further one makes a copy of the trajectory as it was, with the match,
     under a new id numbered from ``first_id`` by (gap, trajectory, rank). Returns the rows and the pairs with their ids.
     """
+    pairs = written(pairs, "matches").df  # read four times below
     forks = numbered(pairs.where("rk > 1"), ["gap", "trajectory_id", "rk"], "new_id", first_id)
     named = pairs.where("rk = 1").withColumn("new_id", F.col("trajectory_id")).unionByName(forks)
     copies = trajectories.join(forks.select("trajectory_id", "new_id"), "trajectory_id").withColumn("trajectory_id", F.col("new_id")).drop("new_id")

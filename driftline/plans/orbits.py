@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from driftline.functions.naming import jd_to_date, object_tag
-from driftline.functions.sky import ephemeris, galactic, lit, separation
+from driftline.functions.sky import galactic, lit, separation, with_ephemeris
 from driftline.operators import metrics
 from driftline.operators.graph import numbered
 from driftline.operators.pairs import nearest_elements, sky_join
@@ -116,8 +116,7 @@ def mpc_lines(spark, sf_dir):
 
 def _ephemerides(spark, sf_dir, offsets):
     orbits = _good(spark, sf_dir).where("e < 1").withColumn("offset", F.explode(F.array(*[F.lit(x) for x in offsets]))).withColumn("jd", F.col("ref_epoch") + F.col("offset"))
-    ra, dec, distance = ephemeris(*[F.col(c) for c in ELEMENTS], F.col("ref_epoch"), F.col("jd"))
-    return orbits.select("trajectory_id", "offset", "jd", ra.alias("ra"), dec.alias("dec"), distance.alias("distance"))
+    return with_ephemeris(orbits, ELEMENTS, "ref_epoch", "jd").select("trajectory_id", "offset", "jd", "ra", "dec", "distance")
 
 
 def ephemeris_table(spark, sf_dir):
@@ -138,9 +137,9 @@ def ephemeris_deviation(spark, sf_dir):
         bare_number("number").alias("ssnamenr"), F.struct("a", "e", "i", "node", "peri", "m", "epoch").alias("k"))
     both = _good(spark, sf_dir).where("e < 1").join(_named_trajectories(spark, sf_dir), "trajectory_id").join(known, "ssnamenr")
     both = both.withColumn("offset", F.explode(F.array(*[F.lit(x) for x in (7, 30, 120, 360)]))).withColumn("jd", F.col("ref_epoch") + F.col("offset"))
-    fitted = ephemeris(*[F.col(c) for c in ELEMENTS], F.col("ref_epoch"), F.col("jd"))
-    listed = ephemeris(*[F.col(f"k.{c}") for c in ("a", "e", "i", "node", "peri", "m", "epoch")], F.col("jd"))
-    return both.select("trajectory_id", "offset", F.round(separation(*fitted[:2], *listed[:2]), 4).alias("sep_deg"))
+    both = with_ephemeris(both, ELEMENTS, "ref_epoch", "jd", "fit_")
+    both = with_ephemeris(both, [f"k.{c}" for c in ("a", "e", "i", "node", "peri", "m")], "k.epoch", "jd", "list_")
+    return both.select("trajectory_id", "offset", F.round(separation("fit_ra", "fit_dec", "list_ra", "list_dec"), 4).alias("sep_deg"))
 
 
 QUERIES = {
