@@ -116,7 +116,8 @@ def repaired(tokens: DataFrame, vocabulary: DataFrame) -> DataFrame:
     shorter = F.least(F.length("token"), F.length("term")) - 2
     allowed = F.when(F.greatest(F.length("token"), F.length("term")) - 2 >= TWO_SLIPS, 2).when(shorter >= ONE_SLIP, 1).otherwise(0)
     near = (
-        left.join(right.hint("merge"), "variant").select("token", "term")  # sizes before the explode would mislead into a broadcast.distinct()
+        left.join(right.hint("merge"), "variant")  # sizes before the explode would mislead into a broadcast
+        .select("token", "term").distinct()
         .withColumn("edits", F.levenshtein("token", "term")).where(F.col("edits") <= allowed)
         .withColumn("nearest", F.min("edits").over(Window.partitionBy("token"))).where("edits = nearest")
     )

@@ -76,6 +76,16 @@ def test_names_are_mapped_or_reported(spark):
     assert canonical(df.limit(0), "ssnamenr", cat, "principal_desig", "number", "name", "other_desigs").count() == 0
 
 
+def test_repaired_tokens_count_once(spark):
+    cat = spark.createDataFrame([*CATALOGUE, (None, "Fentor", "2003 QK7", None)], "number string, name string, principal_desig string, other_desigs array<string>")
+    names = {"Fentor": "2003 QK7", "Fentr": "2003 QK7", "7777 Fentor": "2003 QK7", "7777 Fentr": "UNMATCHED", "7777 Fentxor": "2003 QK7", "Ciandrxprael": "1997 TZ18", "7777 Ciandrxprael": "1997 TZ18"}
+    df = spark.createDataFrame([(n,) for n in names], "ssnamenr string")
+    got = {r.value: r for r in canonical(df, "ssnamenr", cat, "principal_desig", "number", "name", "other_desigs").collect()}
+    assert {v: r.entry for v, r in got.items()} == names
+    assert all(r.score is None or r.score <= 1 for r in got.values())
+    assert got["Fentr"].score == pytest.approx(5 / 6) and got["7777 Fentxor"].score == pytest.approx(6 / 7 * 2**-0.5)
+
+
 def union_find(edges):
     up = {}
 
