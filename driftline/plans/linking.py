@@ -14,6 +14,9 @@ from driftline.schema import LinkConfig, unique_alerts, unique_trajectories
 CFG = LinkConfig()
 #: Criteria per night of the queries across nights, and how far they look.
 ACROSS = {"separation_deg": 0.05, "same": 0.5, "diff": 1.0, "window": 2}
+#: Magnitude limits, window and angle of the continuations of trajectories: a short look ahead, and all that production takes.
+SHORT = (ACROSS["same"], ACROSS["diff"], ACROSS["window"], 10.0)
+WHOLE = (CFG.mag_same, CFG.mag_diff, CFG.trajectory_window, CFG.max_angle_deg)
 
 
 def _ids(pairs):
@@ -66,15 +69,15 @@ def pair_trajectories(spark, sf_dir):
     return pairs.select(F.col("l.candid").alias("old_candid"), F.col("r.candid").alias("new_candid"), F.col("l.gap").alias("gap"))
 
 
-def _cone(spark, sf_dir):
+def _cone(spark, sf_dir, limits=SHORT):
+    same, diff, window, angle = limits
     ends = end_points(unique_trajectories(spark, sf_dir))
-    pairs = night_pairs(ends, unique_alerts(spark, sf_dir), CFG.separation_deg, ACROSS["same"], ACROSS["diff"], ACROSS["window"])
-    return within_cone(pairs, 10.0)
+    return within_cone(night_pairs(ends, unique_alerts(spark, sf_dir), CFG.separation_deg, same, diff, window), angle)
 
 
-def cone_forward(spark, sf_dir):
-    """Alerts that continue the last two points of a trajectory within a cone."""
-    return _cone(spark, sf_dir).select(F.col("l.trajectory_id").alias("trajectory_id"), F.col("r.candid").alias("candid"), F.round("angle", 3).alias("angle"))
+def cone_forward(spark, sf_dir, limits=SHORT):
+    """Alerts of the next two nights that continue the last two points of a trajectory within a cone."""
+    return _cone(spark, sf_dir, limits).select(F.col("l.trajectory_id").alias("trajectory_id"), F.col("r.candid").alias("candid"), F.round("angle", 3).alias("angle"))
 
 
 def cone_backward(spark, sf_dir):
@@ -87,25 +90,40 @@ def cone_backward(spark, sf_dir):
     return found.select(F.col("r.trajectory_id").alias("trajectory_id"), F.col("l.candid").alias("candid"), F.round("angle", 3).alias("angle"))
 
 
-def _ranked(spark, sf_dir):
-    return ranked(newest_night_only(_cone(spark, sf_dir), "r.candid", F.col("l.gap")))
+def _ranked(spark, sf_dir, limits=SHORT):
+    return ranked(newest_night_only(_cone(spark, sf_dir, limits), "r.candid", F.col("l.gap")))
 
 
-def extend_one_night(spark, sf_dir):
-    """The match that extends each trajectory."""
-    return _ranked(spark, sf_dir).where("rk = 1").select(F.col("l.trajectory_id").alias("trajectory_id"), F.col("r.candid").alias("candid"), F.col("l.gap").alias("gap"))
+def extend_one_night(spark, sf_dir, limits=SHORT):
+    """The match of the next two nights that extends each trajectory."""
+    return _ranked(spark, sf_dir, limits).where("rk = 1").select(F.col("l.trajectory_id").alias("trajectory_id"), F.col("r.candid").alias("candid"), F.col("l.gap").alias("gap"))
 
 
-def fork_copies(spark, sf_dir):
-    """Further matches: each makes a copy of the trajectory as it was, here by its size."""
+def fork_copies(spark, sf_dir, limits=SHORT):
+    """Further matches of the next two nights: each makes a copy of the trajectory as it was, here by its size."""
     sizes = unique_trajectories(spark, sf_dir).groupBy("trajectory_id").agg(F.count(F.lit(1)).alias("copied"))
-    forks = _ranked(spark, sf_dir).where("rk > 1").select(F.col("l.trajectory_id").alias("trajectory_id"), F.col("r.candid").alias("candid"), F.col("rk").cast("int").alias("rk"))
+    forks = _ranked(spark, sf_dir, limits).where("rk > 1").select(F.col("l.trajectory_id").alias("trajectory_id"), F.col("r.candid").alias("candid"), F.col("rk").cast("int").alias("rk"))
     return forks.join(sizes, "trajectory_id")
 
 
+def cone_window(spark, sf_dir):
+    """:func:`cone_forward` over the whole window of trajectories, within the limits of production."""
+    return cone_forward(spark, sf_dir, WHOLE)
+
+
+def extend_window(spark, sf_dir):
+    """:func:`extend_one_night` over the whole window of trajectories, within the limits of production."""
+    return extend_one_night(spark, sf_dir, WHOLE)
+
+
+def fork_window(spark, sf_dir):
+    """:func:`fork_copies` over the whole window of trajectories, within the limits of production."""
+    return fork_copies(spark, sf_dir, WHOLE)
+
+
 QUERIES = {
     f.__name__: f
-    for f in (intra_pairs, mirror_dedupe, intra_pairs_mag, successor_pick, tracklet_paths, dbscan_equiv, night_pairs_gap1, night_pairs_window, pair_trajectories, cone_forward, cone_backward, extend_one_night, fork_copies)
+    for f in (intra_pairs, mirror_dedupe, intra_pairs_mag, successor_pick, tracklet_paths, dbscan_equiv, night_pairs_gap1, night_pairs_window, pair_trajectories, cone_forward, cone_backward, extend_one_night, fork_copies, cone_window, extend_window, fork_window)
 }
 
 _R = "120.0::double / 3600"
@@ -172,3 +190,12 @@ where angle <= 10""",
     "fork_copies": f"with {_ENDS} select trajectory_id, candid, cast(rk as int) as rk, copied from rk join (select trajectory_id, count(*) as copied from t group by 1) using (trajectory_id) where rk > 1",
 }
 
+_WHOLE = {
+    "unnest([1, 2])": "unnest(range(1, 16))",
+    "then 0.5::double else 1.0::double": "then 0.1::double else 0.5::double",
+    "angle <= 10": "angle <= 1",
+}
+for _name, _short in (("cone_window", "cone_forward"), ("extend_window", "extend_one_night"), ("fork_window", "fork_copies")):
+    SQL[_name] = SQL[_short]
+    for _old, _new in _WHOLE.items():
+        SQL[_name] = SQL[_name].replace(_old, _new)

@@ -12,6 +12,7 @@ from driftline.operators.nearby import separation_arcsec
 from driftline.operators.nightly import NightState, evict, guard_night, keep_last_only, process_night, replay
 from driftline.operators.pairs import intra_night_pairs, magnitude_pairs, mirror_free, nearest_elements, sky_join, successors
 from driftline.operators.tracklets import tracklets
+from driftline.plans import linking
 from driftline.schema import POINT, TRAJECTORY, LinkConfig
 
 CFG = LinkConfig(intra_separation_arcsec=145.0, separation_deg=0.3, mag_same=5.0, mag_diff=5.0, max_angle_deg=5.0)
@@ -180,3 +181,20 @@ def test_nights_come_once_and_in_order():
 def test_empty_state_and_night(spark):
     state = process_night(NightState.empty(spark), spark.createDataFrame([], POINT), 1, LinkConfig())
     assert state.trajectories.count() == 0 and state.old_alerts.count() == 0
+
+
+def test_continuations_reach_over_the_whole_window(spark, tmp_path):
+    """A straight track of 0.1 degrees a night, continued after a gap of 10, 15 and 16 nights."""
+    def row(track, night, candid):
+        return (candid, 20.0 * track + 0.1 * night, 0.0, 2459000.5 + night, night, 1, 18.0)
+
+    kinds = "candid long, ra double, dec double, jd double, nid int, fid int, magpsf double"
+    gaps = {1: 10, 2: 15, 3: 16}
+    new = [row(t, 1 + gap, 100 + t) for t, gap in gaps.items()]
+    spark.createDataFrame([(*r, None, k) for k, r in enumerate(new)], f"{kinds}, received_at timestamp, delivery_id long").write.parquet(f"{tmp_path}/alerts.parquet")
+    old = [(t, *row(t, n, 10 * t + n)) for t in gaps for n in (0, 1)]
+    spark.createDataFrame(old, f"trajectory_id long, {kinds}").write.parquet(f"{tmp_path}/trajectories.parquet")
+    found = linking.QUERIES["extend_window"](spark, str(tmp_path)).collect()
+    assert {(r.trajectory_id, r.candid, r.gap) for r in found} == {(1, 101, 10), (2, 102, 15)}
+    assert {r.candid for r in linking.QUERIES["cone_window"](spark, str(tmp_path)).collect()} == {101, 102}
+    assert linking.QUERIES["fork_window"](spark, str(tmp_path)).count() == 0
