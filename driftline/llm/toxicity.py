@@ -17,7 +17,9 @@ from driftline.runtime import written
 
 WORDS, TRIGRAMS, LETTERS = 1 << 15, 1 << 13, 18
 WIDTH, HIDDEN, ATTEND = 20, 12, 8
-WINDOW, STRIDE = 24, 16
+WINDOW = 24
+#: Words between the starts of windows: every window is scored; the fit, a sample in any case, learns from some.
+STRIDE, FIT_STRIDE = 1, 16
 #: Distinct words whose projections a worker keeps; the store is emptied when full, which changes nothing but time.
 KEPT = 150_000
 
@@ -57,15 +59,26 @@ def features(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return ids, grams
 
 
-def windows(lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Overlapping windows over texts laid end to end: place of each window's words, which of them are real, its text."""
-    counts = np.where(lengths > 0, np.maximum(1, -(-(lengths - WINDOW) // STRIDE) + 1), 0)
+def starts(lengths: np.ndarray, stride: int = STRIDE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Overlapping windows over texts laid end to end: place of each window's first word, words left from there, its text."""
+    counts = np.where(lengths > 0, np.maximum(1, -(-(lengths - WINDOW) // stride) + 1), 0)
     doc = np.repeat(np.arange(len(lengths)), counts)
     nth = np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)
     offset = np.concatenate([[0], np.cumsum(lengths)[:-1]]) if len(lengths) else np.zeros(0, int)
-    inside = nth[:, None] * STRIDE + np.arange(WINDOW)[None, :]
-    real = inside < lengths[doc][:, None]
-    return np.where(real, inside + offset[doc][:, None], 0), real, doc
+    return nth * stride + offset[doc], lengths[doc] - nth * stride, doc
+
+
+def laid_out(first: np.ndarray, left: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places of the words of windows, and which of them are real."""
+    inside = np.arange(WINDOW)[None, :]
+    real = inside < left[:, None]
+    return np.where(real, first[:, None] + inside, 0), real
+
+
+def windows(lengths: np.ndarray, stride: int = STRIDE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Overlapping windows over texts laid end to end: place of each window's words, which of them are real, its text."""
+    first, left, doc = starts(lengths, stride)
+    return *laid_out(first, left), doc
 
 
 def _sigmoid(x: np.ndarray) -> np.ndarray:
@@ -277,11 +290,12 @@ class Scorer:
                     self.learn(list(distinct.difference(self.place)))
             lengths = np.array([len(x) for x in lists])
             flat = np.fromiter(map(self.place.__getitem__, chain.from_iterable(lists)), np.int64, int(lengths.sum()))
-            at, real, doc = windows(lengths)
-            order = np.argsort(~real[:, -1], kind="stable")  # full windows first: they need no mask
+            first, left, doc = starts(lengths)
+            order = np.argsort(left < WINDOW, kind="stable")  # full windows first: they need no mask
             for j in range(0, len(doc), 1024):
                 rows = order[j : j + 1024]
-                logit = self.logits(flat[at[rows]].T, real[rows].T)
+                at, real = laid_out(first[rows], left[rows])  # a batch at a time: all of a long text would be large
+                logit = self.logits(flat[at].T, real.T)
                 np.maximum.at(result, doc[rows] + i, _sigmoid(logit.astype(np.float64)))
         return result
 
@@ -320,7 +334,7 @@ def _train_shard(model: bytes, odds: np.ndarray, epochs: int, rate: float, first
         wid, gid = features(list(vocabulary)) if vocabulary else (np.zeros(1, int), np.zeros((1, 1), int))
         lengths = np.array([len(x) for x in lists])
         flat = np.array([vocabulary[w] for x in lists for w in x], np.int64)
-        at, real, doc = windows(lengths)
+        at, real, doc = windows(lengths, FIT_STRIDE)
         if len(doc):
             index = flat[at]
             positive = labels[doc] == 1

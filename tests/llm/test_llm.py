@@ -277,3 +277,16 @@ def test_windows_cover_every_word():
         at, real, doc = toxicity.windows(np.array([n, 0, 3]))
         seen = set(at[doc == 0][real[doc == 0]].tolist())
         assert seen == set(range(n)) and not (doc == 1).any() and set(at[doc == 2][real[doc == 2]].tolist()) == {n, n + 1, n + 2}
+
+
+def test_any_span_up_to_a_window_lies_whole_in_one():
+    for n in (24, 25, 60):
+        at, real, _ = toxicity.windows(np.array([n]))
+        whole = [set(a[r].tolist()) for a, r in zip(at, real)]
+        assert all(any(set(range(k, k + size)) <= w for w in whole) for size in (11, 18, 24) for k in range(n - size + 1))
+
+
+def test_score_is_that_of_the_best_of_all_windows():
+    scorer, words = toxicity.Scorer(toxicity.initial(3)), [f"word{k}" for k in range(60)]
+    each = scorer.score([" ".join(words[k : k + toxicity.WINDOW]) for k in range(60 - toxicity.WINDOW + 1)])
+    assert scorer.score([" ".join(words)])[0] == pytest.approx(each.max(), abs=1e-6)
