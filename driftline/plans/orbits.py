@@ -125,9 +125,16 @@ def ephemeris_table(spark, sf_dir):
 
 
 def ephemeris_alerts(spark, sf_dir):
-    """Alerts within a degree of a predicted position of their night; of each the nearest prediction."""
-    predicted = _ephemerides(spark, sf_dir, list(range(-15, 16))).withColumn("nid", F.floor(F.col("jd") - lit(2457754.5)).cast("int"))
-    found = sky_join(predicted, unique_alerts(spark, sf_dir), 1.0, [("nid", "nid")], 1.0, height_deg=2.0)
+    """Alerts within a degree of a predicted position of their night; of each the nearest prediction.
+
+    Each orbit is predicted for all nights that have alerts, at the time of day of its epoch.
+    """
+    alerts = unique_alerts(spark, sf_dir)
+    first = F.floor(F.col("ref_epoch") - lit(2457754.5)).cast("int")
+    nights = _good(spark, sf_dir).where("e < 1").crossJoin(alerts.select("nid").distinct()).repartition("nid")
+    nights = nights.withColumn("jd", F.col("ref_epoch") + (F.col("nid") - first))
+    predicted = with_ephemeris(nights, ELEMENTS, "ref_epoch", "jd").select("trajectory_id", "nid", "ra", "dec")
+    found = sky_join(predicted, alerts, 1.0, [("nid", "nid")], 1.0, height_deg=2.0)
     return found.groupBy(F.col("r.candid").alias("candid")).agg(F.min_by("l.trajectory_id", F.struct("sep_deg", "l.trajectory_id")).alias("trajectory_id"))
 
 

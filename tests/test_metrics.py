@@ -4,7 +4,9 @@ import duckdb
 import pytest
 from pyspark.sql import functions as F
 
+from driftline.functions.sky import with_ephemeris
 from driftline.operators import metrics, study
+from driftline.plans.orbits import ephemeris_alerts
 
 POINTS = "k int, candid int, jd double, nid int, ra double, dec double, fid int, magpsf double"
 
@@ -76,3 +78,15 @@ def test_class_labels_and_reduced_chi(spark):
     assert all(r.got == r.want for r in df.collect())
     chi = spark.createDataFrame([([1.0, 2.0],), ([],), ([1.0, -1.0],), (None,)], "r array<double>").select(metrics.reduced_chi(F.col("r")).alias("c"))
     assert [r.c for r in chi.collect()] == [1.5, None, None, None]
+
+
+def test_orbits_are_predicted_for_all_nights_of_alerts(spark, tmp_path):
+    elements = "a double, e double, i double, long_node double, arg_peric double, mean_anomaly double"
+    orbit = spark.createDataFrame([(7, 2459000.7, 2.5, 0.1, 5.0, 40.0, 70.0, 10.0)], f"trajectory_id long, ref_epoch double, {elements}")
+    orbit.write.parquet(f"{tmp_path}/orbits.parquet")
+    times = orbit.withColumn("jd", F.explode(F.array(*[F.lit(2459000.7 + n) for n in (-200, -15, 0, 15, 16, 90)])))
+    seen = with_ephemeris(times, ["a", "e", "i", "long_node", "arg_peric", "mean_anomaly"], "ref_epoch", "jd")
+    alerts = seen.selectExpr("cast(jd * 10 as long) as candid", "ra", "dec", "jd", "cast(floor(jd - 2457754.5D) as int) as nid", "1 as fid", "18D as magpsf", "cast(null as timestamp) as received_at", "1L as delivery_id")
+    alerts.write.parquet(f"{tmp_path}/alerts.parquet")
+    got = ephemeris_alerts(spark, str(tmp_path)).collect()
+    assert len(got) == 6 and {r.trajectory_id for r in got} == {7}
