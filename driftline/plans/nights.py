@@ -23,9 +23,9 @@ def orbit_fit(spark, sf_dir):
 
 
 def orbit_merge(spark, sf_dir):
-    """Pairs of like orbits whose points one orbit fits, whatever its chi."""
+    """Pairs of like orbits (each with its three nearest) whose points one orbit fits, whatever its chi, which is given."""
     orbits = table(spark, sf_dir, "orbits")
-    return merge_orbits(orbits, unique_trajectories(spark, sf_dir), neighbours=1, max_chi=float("inf")).select("first", "second", "chi_reduced")
+    return merge_orbits(orbits, unique_trajectories(spark, sf_dir), max_chi=float("inf")).select("first", "second", "chi_reduced")
 
 
 QUERIES = {f.__name__: f for f in (streaming_days, orbit_fit, orbit_merge)}

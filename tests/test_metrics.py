@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from driftline.functions.sky import with_ephemeris
 from driftline.operators import metrics, study
+from driftline.plans.nights import orbit_merge
 from driftline.plans.orbits import ephemeris_alerts
 
 POINTS = "k int, candid int, jd double, nid int, ra double, dec double, fid int, magpsf double"
@@ -90,3 +91,15 @@ def test_orbits_are_predicted_for_all_nights_of_alerts(spark, tmp_path):
     alerts.write.parquet(f"{tmp_path}/alerts.parquet")
     got = ephemeris_alerts(spark, str(tmp_path)).collect()
     assert len(got) == 6 and {r.trajectory_id for r in got} == {7}
+
+
+def test_all_arcs_of_a_split_object_are_paired(spark, tmp_path):
+    """Four arcs of one orbit, whose elements lie in a row: the nearest alone gives three of the six pairs."""
+    elements = "a double, e double, i double, long_node double, arg_peric double, mean_anomaly double"
+    orbits = spark.createDataFrame([(k, 2459000.5, 2.5 + d, 0.1, 5.0, 40.0, 70.0, 10.0) for k, d in ((1, 0.0), (2, 1e-4), (3, 3e-4), (4, 7e-4))], f"trajectory_id long, ref_epoch double, {elements}")
+    orbits.write.parquet(f"{tmp_path}/orbits.parquet")
+    times = orbits.withColumn("a", F.lit(2.5)).withColumn("n", F.explode(F.sequence(F.lit(0), F.lit(2)))).withColumn("jd", F.lit(2459000.5) + 6 * F.col("trajectory_id") + 2 * F.col("n"))
+    seen = with_ephemeris(times, ["a", "e", "i", "long_node", "arg_peric", "mean_anomaly"], "ref_epoch", "jd")
+    seen.selectExpr("trajectory_id", "trajectory_id * 10 + n as candid", "ra", "dec", "jd", "cast(jd - 2457754.5D as int) as nid", "1 as fid", "18D as magpsf").write.parquet(f"{tmp_path}/trajectories.parquet")
+    got = {(r.first, r.second) for r in orbit_merge(spark, str(tmp_path)).collect()}
+    assert got == {(1, 2), (1, 3), (1, 4), (2, 3), (2, 4), (3, 4)}
