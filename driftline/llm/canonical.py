@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from driftline.runtime import written
+
 UNMATCHED = "UNMATCHED"
 #: Letters with marks, and the plain letters they are read as.
 MARKED = "áàâäãåéèêëíìîïóòôöõúùûüñçýÿ"
@@ -15,6 +17,8 @@ PACKED = "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz"
 NUMBER = r"[\dO]+(?:,[\dO]{3})*"
 #: Longer words may hold two slips, shorter ones one, very short ones none.
 TWO_SLIPS, ONE_SLIP = 8, 4
+#: Terms of more letters are met through their thirds instead of their deletion variants.
+LONG = 24
 
 
 def _clean(value: Column) -> Column:
@@ -88,10 +92,10 @@ def catalogue_forms(catalogue: DataFrame, entry: str, number: str, name: str, al
         F.when((F.size(named) > 0) & F.col(number).isNotNull(), F.array(F.concat(F.array(numbered), named))).otherwise(F.array()),
     )
     out = c.select(F.col(entry).alias("entry"), F.explode(F.array_distinct(forms)).alias("tokens")).distinct()
-    return out.withColumn("form", F.xxhash64("entry", "tokens"))
+    return out.select("entry", F.xxhash64("entry", "tokens").alias("form"), F.array_distinct("tokens").alias("tokens"))
 
 
-def _variants(word: Column) -> Column:
+def _deletions(word: Column) -> Column:
     """A word and all that is left of it after one or two deletions."""
 
     def cut(w: Column) -> Column:
@@ -102,25 +106,45 @@ def _variants(word: Column) -> Column:
     return F.array_distinct(F.concat(F.array(word), once, twice))
 
 
+def _thirds(word: Column, length: Column, shift: Column) -> Column:
+    """The thirds of a term of ``length`` letters as they would stand in ``word``, moved by ``shift`` letters."""
+    third = F.ceil(length / 3).cast("int")
+    return F.array(*[
+        F.concat_ws("|", length.cast("string"), F.lit(str(k)), F.substr(word, F.greatest(F.lit(1), k * third + 1 + shift), F.least(third, length - k * third)))
+        for k in range(3)
+    ])
+
+
+def _keys(word: Column, of_term: bool) -> Column:
+    """Keys that a term and any word within two edits of it share.
+
+    Terms of up to ``LONG`` letters share a deletion variant. Of longer ones two edits leave one third whole, moved
+    by at most two letters; so the number of keys of a word does not grow with its length.
+    """
+    n, none = F.length(word), F.array().cast("array<string>")
+    steps = [F.lit(0)] if of_term else [F.lit(k) for k in (-2, -1, 0, 1, 2)]
+    short = F.when(n <= (LONG if of_term else LONG + 2), _deletions(word)).otherwise(none)
+    thirds = [F.when(n + by > LONG, _thirds(word, n + by, shift)).otherwise(none) for by in steps for shift in steps]
+    return F.array_distinct(F.concat(short, *thirds))
+
+
 def repaired(tokens: DataFrame, vocabulary: DataFrame) -> DataFrame:
     """Distinct tokens joined to the vocabulary: ``token, term, sim``.
 
     Tokens in the vocabulary stand for themselves. Other words go to the terms within 1 (from 4 letters) or 2
-    (from 8 letters) edits, found through shared deletion variants and kept by exact edit distance, of which the
-    nearest count. Numbers and designations are never repaired: a neighbour is another object.
+    (from 8 letters) edits, found through shared keys and kept by exact edit distance, of which the nearest count.
+    Numbers and designations are never repaired: a neighbour is another object. Words of any length are compared.
     """
     exact = tokens.join(vocabulary.select(F.col("term").alias("token")), "token", "left_semi")
     rest = tokens.join(vocabulary.select(F.col("term").alias("token")), "token", "left_anti").where(F.col("token").startswith("w:"))
-    left = rest.select("token", F.explode(_variants(F.substring("token", 3, 200))).alias("variant"))
-    right = vocabulary.where(F.col("term").startswith("w:")).select("term", F.explode(_variants(F.substring("term", 3, 200))).alias("variant"))
+    left = rest.select("token", F.explode(_keys(F.substr("token", F.lit(3)), False)).alias("variant"))
+    right = vocabulary.where(F.col("term").startswith("w:")).select("term", F.explode(_keys(F.substr("term", F.lit(3)), True)).alias("variant"))
     shorter = F.least(F.length("token"), F.length("term")) - 2
     allowed = F.when(F.greatest(F.length("token"), F.length("term")) - 2 >= TWO_SLIPS, 2).when(shorter >= ONE_SLIP, 1).otherwise(0)
-    near = (
-        left.join(right.hint("merge"), "variant")  # sizes before the explode would mislead into a broadcast
-        .select("token", "term").distinct()
-        .withColumn("edits", F.levenshtein("token", "term")).where(F.col("edits") <= allowed)
-        .withColumn("nearest", F.min("edits").over(Window.partitionBy("token"))).where("edits = nearest")
-    )
+    # Sizes before the explode would mislead into a broadcast.
+    met = left.join(right.hint("merge"), "variant").select("token", "term").distinct()
+    edits = met.withColumn("edits", F.levenshtein("token", "term", 2)).where(F.col("edits").between(0, allowed))
+    near = edits.withColumn("nearest", F.min("edits").over(Window.partitionBy("token"))).where("edits = nearest")
     sim = F.lit(1.0) - F.col("edits") / (F.greatest(F.length("token"), F.length("term")) - 2)
     return exact.select("token", F.col("token").alias("term"), F.lit(1.0).alias("sim")).unionByName(near.select("token", "term", sim.alias("sim")))
 
@@ -130,29 +154,36 @@ def canonical(values: DataFrame, value: str, catalogue: DataFrame, entry: str, n
 
     Values are read as tokens, each distinct token is repaired against the tokens of the catalogue, and complete
     forms of entries (number, name, number with name, each designation) are ranked by the soft TF-IDF cosine of
-    the repaired tokens; the best form of at least ``least_score`` wins, among equals the smallest entry. Tokens in
-    no form take part in the norm, so an unknown word or number beside a known one lowers the score.
+    the repaired tokens, whose weights fall with the share of entries that have them; the best form of at least ``least_score`` wins, among equals the smallest entry. Tokens in
+    no form take part in the norm, so an unknown word or number beside a known one lowers the score. A token counts
+    for one term of a form and a term for one token, so no score is above 1.
 
     Each value is treated once, however many rows have it. Null values give no row; a catalogue without rows leaves
-    all unmatched; null numbers, names, aliases of an entry are ways of writing it does not have. Joins choose their
-    strategy by size: neither side is assumed small.
+    all unmatched; null numbers, names, aliases of an entry are ways of writing it does not have. The catalogue's
+    weighted forms and the values' tokens are written once and read by all joins, which choose their strategy by
+    size: neither side is assumed small.
     """
     distinct = values.select(F.col(value).alias("value")).where(F.col("value").isNotNull()).distinct()
     read = distinct.select("value", F.posexplode(readings(F.col("value"))).alias("reading", "tokens"))
-    used = read.select("value", "reading", F.explode("tokens").alias("token"))
-    forms = catalogue_forms(catalogue, entry, number, name, aliases)
-    form_tokens = forms.select("entry", "form", F.explode(F.array_distinct("tokens")).alias("term"))
-    weights = form_tokens.groupBy("term").agg(F.count_distinct("form").alias("df")).withColumn("idf", F.log(F.lit(1.0) + F.lit(1e6) / F.col("df")))
-    weighted = form_tokens.join(weights.select("term", "idf"), "term")
-    norm = weighted.groupBy("form").agg(F.sqrt(F.sum(F.col("idf") * F.col("idf"))).alias("form_norm"))
-    fixed = repaired(used.select("token").distinct(), weights.select("term"))
-    terms = used.join(fixed, "token", "left").join(weights.select("term", "idf"), "term", "left")
-    rare = F.log(F.lit(1.0) + F.lit(1e6))  # the weight of a token that no form has
-    own = terms.groupBy("value", "reading", "token").agg(F.coalesce(F.max("idf"), rare).alias("w"))
-    own_norm = own.groupBy("value", "reading").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("value_norm"))
-    met = terms.where(F.col("term").isNotNull()).select("value", "reading", "term", "idf", "sim").join(form_tokens, "term")
-    scored = met.groupBy("value", "reading", "entry", "form").agg(F.sum(F.col("idf") * F.col("idf") * F.col("sim")).alias("dot"))
-    scored = scored.join(norm, "form").join(own_norm, ["value", "reading"])
+    used = written(read.select("value", "reading", F.explode(F.array_distinct("tokens")).alias("token")), "tokens").df
+    forms = written(catalogue_forms(catalogue, entry, number, name, aliases), "forms").df
+    n_entries = F.lit(float(forms.agg(F.count_distinct("entry")).first()[0]))
+    form_terms = forms.select("entry", "form", F.explode("tokens").alias("term"))
+    idf = form_terms.groupBy("term").agg(F.log(F.lit(1.0) + n_entries / F.count_distinct("entry")).alias("idf"))
+    weights = written(idf, "weights").df
+    by_form = Window.partitionBy("entry", "form")
+    weighted = form_terms.join(weights, "term").withColumn("form_norm", F.sqrt(F.sum(F.col("idf") * F.col("idf")).over(by_form)))
+    weighted = written(weighted, "weighted-forms").df
+    fixed = written(repaired(used.select("token").distinct(), weights.select("term")).join(weights, "term"), "repaired").df
+    rare = F.log(F.lit(1.0) + n_entries)  # the weight of a token that no form has
+    own = used.join(fixed.groupBy("token").agg(F.max("idf").alias("w")), "token", "left")
+    own_norm = own.groupBy("value", "reading").agg(F.sqrt(F.sum(F.coalesce(F.col("w") * F.col("w"), rare * rare))).alias("value_norm"))
+    met = used.join(fixed.select("token", "term", "sim"), "token").join(weighted, "term")
+    # One exchange serves the three steps: a token's best term, a term's best token, and their sum.
+    met = met.select("value", "reading", "entry", "form", "form_norm", "token", "term", (F.col("idf") * F.col("idf") * F.col("sim")).alias("x")).repartition("value", "reading")
+    met = met.groupBy("value", "reading", "entry", "form", "form_norm", "token").agg(F.max(F.struct("x", "term")).alias("b"))
+    met = met.groupBy("value", "reading", "entry", "form", "form_norm", F.col("b.term").alias("term")).agg(F.max("b.x").alias("x"))
+    scored = met.groupBy("value", "reading", "entry", "form", "form_norm").agg(F.sum("x").alias("dot")).join(own_norm, ["value", "reading"])
     scored = scored.withColumn("score", F.round(F.col("dot") / (F.col("form_norm") * F.col("value_norm")), 9)).where(F.col("score") >= least_score)
     best = scored.groupBy("value").agg(F.min(F.struct((-F.col("score")).alias("s"), "entry")).alias("b"))
     out = distinct.join(best, "value", "left")

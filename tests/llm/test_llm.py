@@ -11,7 +11,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from driftline.llm import bpe, mixing, toxicity
-from driftline.llm.canonical import canonical, canonical_by_part
+from driftline.llm.canonical import canonical, canonical_by_part, repaired
 from driftline.llm.components import components, star_edges
 from driftline.llm.percentiles import combine, percentiles, summarise
 
@@ -86,6 +86,55 @@ def test_repaired_tokens_count_once(spark):
     assert got["Fentr"].score == pytest.approx(5 / 6) and got["7777 Fentxor"].score == pytest.approx(6 / 7 * 2**-0.5)
 
 
+def test_scores_are_cosines(spark):
+    cat = [(None, "Alexandria", "2003 QK7", None), (None, "Maria Maris", "2004 AB1", None), ("(5)", "Longerlettersinthisnameherethananyother", "2005 CD2", None)]
+    cat = spark.createDataFrame(cat, "number string, name string, principal_desig string, other_desigs array<string>")
+    names = {
+        "Alexandrina Qqqqqqqqqq Zzzzzz Wwwwwwww": "UNMATCHED", "Alexandria Qqqqqqqqqq Zzzzzz Wwwwwwww": "UNMATCHED", "Alexandrina": "2003 QK7",
+        "Maria Mariz Marix Maria": "2004 AB1", "Longerlettersinthisnameherethananyother": "2005 CD2", "ongerlettersinthisnameherethananyother": "2005 CD2",
+        "Longerlettersinthisnameherethananyothexyr": "2005 CD2", "Longerlettersinhisnameherethananyothr": "2005 CD2", "Longerletersinhisnameherethananyothr": "UNMATCHED",
+        "Longer letters in this name here than any other": "2005 CD2", "x" * 20_000: "UNMATCHED",
+    }
+    df = spark.createDataFrame([(n,) for n in names], "ssnamenr string")
+    got = {r.value: r for r in canonical(df, "ssnamenr", cat, "principal_desig", "number", "name", "other_desigs").collect()}
+    assert {v: r.entry for v, r in got.items()} == names
+    assert all(r.score is None or r.score <= 1 for r in got.values())
+
+
+def test_repair_finds_all_that_edit_distance_finds(spark):
+    rng = random.Random(11)
+    terms = {"w:" + "".join(rng.choice("abc") for _ in range(rng.choice([1, 3, 5, 8, 9, 12, 23, 24, 25, 26, 33, 48]))) for _ in range(120)}
+    tokens = set(rng.sample(sorted(terms), 10))
+    for term in terms:
+        for slips in (1, 2, 3):
+            word = list(term[2:])
+            for _ in range(slips):
+                at = rng.randrange(len(word) + 1)
+                word[at : at + rng.choice([0, 1, 1])] = rng.choice(["", "a", "c", "b"])
+            tokens.add("w:" + "".join(word))
+    frame = lambda rows, name: spark.createDataFrame([(r,) for r in sorted(rows)], f"{name} string")
+    got = {(r.token, r.term) for r in repaired(frame(tokens, "token"), frame(terms, "term")).collect()}
+    want = {(t, t) for t in tokens & terms}
+    for token in tokens - terms:
+        near = {}
+        for term in terms:
+            a, b = len(token) - 2, len(term) - 2
+            allowed = 2 if max(a, b) >= 8 else 1 if min(a, b) >= 4 else 0
+            if (d := edit_distance(token, term)) <= allowed:
+                near.setdefault(d, set()).add((token, term))
+        want |= near[min(near)] if near else set()
+    assert got == want and len(want) > 100
+
+
+def edit_distance(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a):
+        last, row[0] = row[0], i + 1
+        for j, y in enumerate(b):
+            last, row[j + 1] = row[j + 1], min(row[j] + 1, row[j + 1] + 1, last + (x != y))
+    return row[-1]
+
+
 def union_find(edges):
     up = {}
 
