@@ -9,6 +9,7 @@ import pytest
 import tiktoken
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from driftline.llm import bpe, mixing, toxicity
 from driftline.llm.canonical import canonical, canonical_by_part, repaired
@@ -295,9 +296,11 @@ def test_toxicity_on_held_out_texts(spark):
 def test_gradient_of_the_network():
     rng = np.random.default_rng(0)
     p = {k: v.astype(np.float64) for k, v in toxicity.initial(1).items()}
-    af, ab = (rng.normal(size=(toxicity.WINDOW, 3, 3 * toxicity.HIDDEN)) for _ in range(2))
-    real = np.ones((toxicity.WINDOW, 3), bool)
-    real[9:, 1] = False
+    n = toxicity.HALO + toxicity.WINDOW
+    af, ab = (rng.normal(size=(n, 3, 3 * toxicity.HIDDEN)) for _ in range(2))
+    real = np.ones((n + toxicity.HALO, 3), bool)
+    real[19:, 1] = False
+    real[: toxicity.HALO, 2] = False
     weight = rng.normal(size=3)
 
     def loss():
@@ -321,21 +324,78 @@ def test_words_in_one_spelling():
     assert toxicity.normal("M1ST-K3RL!") == "mistkerl" and toxicity.normal("d@mn,ed") == "damned" and toxicity.normal("1,234.") == "0" and toxicity.normal("s******r") == "s*r" and toxicity.normal("stuppppid") == "stupid"
 
 
-def test_windows_cover_every_word():
-    for n in (1, 5, 24, 25, 40, 41, 333):
-        at, real, doc = toxicity.windows(np.array([n, 0, 3]))
-        seen = set(at[doc == 0][real[doc == 0]].tolist())
-        assert seen == set(range(n)) and not (doc == 1).any() and set(at[doc == 2][real[doc == 2]].tolist()) == {n, n + 1, n + 2}
-
+def test_long_words_are_read_to_their_last_letter():
+    word = "".join(chr(97 + (k * 7 + k // 9) % 26) for k in range(60))
+    pieces = toxicity.tokens(f"a {word}. b")
+    assert pieces[0] == "a" and pieces[-1] == "b" and all(len(w) <= toxicity.LETTERS for w in pieces)
+    grams = {w[k : k + 3] for w in pieces for k in range(len(w) - 2)}
+    assert {word[k : k + 3] for k in range(58)} <= grams
+    scorer = toxicity.Scorer(toxicity.initial(3))
+    same = "x" + "yz" * 30
+    assert scorer.score([same + "abc"])[0] != scorer.score([same + "cba"])[0]
+    assert toxicity.features(["a" * 18])[1].any() and len(toxicity.tokens("z1" * 50_000)) > 1000
 
-def test_any_span_up_to_a_window_lies_whole_in_one():
-    for n in (24, 25, 60):
-        at, real, _ = toxicity.windows(np.array([n]))
-        whole = [set(a[r].tolist()) for a, r in zip(at, real)]
-        assert all(any(set(range(k, k + size)) <= w for w in whole) for size in (11, 18, 24) for k in range(n - size + 1))
 
-
-def test_score_is_that_of_the_best_of_all_windows():
-    scorer, words = toxicity.Scorer(toxicity.initial(3)), [f"word{k}" for k in range(60)]
-    each = scorer.score([" ".join(words[k : k + toxicity.WINDOW]) for k in range(60 - toxicity.WINDOW + 1)])
-    assert scorer.score([" ".join(words)])[0] == pytest.approx(each.max(), abs=1e-6)
+def test_windows_start_at_every_word():
+    for n in (1, 5, 24, 25, 40, 41, 333):
+        for stride in (1, 8):
+            first, doc = toxicity.starts(np.array([3, 0, n]), stride)
+            mine = first[doc == 2] - 3
+            assert (doc == 0).sum() == 1 and not (doc == 1).any() and mine[-1] == max(0, n - toxicity.WINDOW)
+            assert set(mine) == {*range(0, max(1, n - toxicity.WINDOW + 1), stride), max(0, n - toxicity.WINDOW)}
+
+
+def brute_states(scorer, places, gates, proj):
+    h, out = np.zeros(toxicity.HIDDEN), []
+    for w in places:
+        z, g = (1 / (1 + np.exp(-(proj[k][w] + h @ gates[k].astype(float)))) for k in (0, 1))
+        new = np.tanh(proj[2][w] + g * (h @ gates[2].astype(float)))
+        h = new + z * (h - new)
+        out.append(h)
+    return np.array(out)
+
+
+@pytest.mark.parametrize("lengths", [[1], [5, 0, 30], [24, 25], [200, 3, 90]])
+def test_score_is_that_of_the_best_of_all_windows(lengths):
+    rng, p = np.random.default_rng(4), toxicity.initial(3)
+    p = {k: v * 6 if k in ("word", "gram") else v for k, v in p.items()}
+    scorer, texts = toxicity.Scorer(p), [[f"w{rng.integers(90)}" for _ in range(n)] for n in lengths]
+    got = scorer.score([" ".join(t) for t in texts])
+    for text, score in zip(texts, got):
+        if not text:
+            assert score == 0
+            continue
+        places, size, e, s = [scorer.place[w] for w in text], toxicity.SEGMENT, [], []
+        for start in range(0, len(text), size):
+            low, high = max(0, start - toxicity.HALO), min(len(text), start + size + toxicity.HALO)
+            end = min(len(text), start + size)
+            hf = brute_states(scorer, places[low:end], scorer.gates[0], scorer.proj[:3])[start - low :]
+            hb = brute_states(scorer, places[start:high][::-1], scorer.gates[1], scorer.proj[3:])[::-1][: end - start]
+            h = np.concatenate([hf, hb], axis=1)
+            e.extend(np.exp(np.tanh(h @ p["aw"] + p["ab"]) @ p["av"]))
+            s.extend(h @ p["ow"])
+        e, s, w = np.array(e), np.array(s), toxicity.WINDOW
+        each = [(e[k : k + w] * s[k : k + w]).sum() / e[k : k + w].sum() + p["ob"][0] for k in range(max(1, len(text) - w + 1))]
+        assert score == pytest.approx(1 / (1 + np.exp(-max(each))), abs=1e-5)
+
+
+def test_window_of_the_fit_is_that_of_the_scorer():
+    p = toxicity.initial(3)
+    words = [f"w{k}" for k in range(20)]
+    scorer = toxicity.Scorer(p)
+    wid, gid = toxicity.features([toxicity.normal(w) for w in words])
+    x = p["word"][wid] + p["gram"][gid].sum(axis=1)
+    at, real = toxicity.around(np.array([0]), np.array([0]), np.array([20]), toxicity.HALO, toxicity.WINDOW + toxicity.HALO)
+    n = toxicity.HALO + toxicity.WINDOW
+    logit = toxicity._forward(p, (x @ p["xf"] + p["bf"])[at.T[:n]], (x @ p["xb"] + p["bb"])[at.T[-n:]], real.T)[0]
+    assert scorer.logits(*scorer.places([words]))[0] == pytest.approx(logit[0], abs=1e-5)
+
+
+def test_fit_does_not_depend_on_partitions(spark):
+    rows = labelled(120, 2)
+    docs = spark.createDataFrame([(k, t) for k, t, _ in rows], "doc_id long, text string")
+    labels = spark.createDataFrame([(k, y) for k, _, y in rows], "doc_id long, toxic int")
+    sizes = {"rounds": 2, "steps": 5, "shard_docs": 40}
+    one = toxicity.fit(docs, labels, **sizes)
+    two = toxicity.fit(docs.orderBy(F.desc("doc_id")).repartition(7), labels.repartition(3), **sizes)
+    assert one == two
