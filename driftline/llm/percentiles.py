@@ -4,25 +4,26 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from driftline.runtime import written
 
-#: Bins at which infinite or huge values are held.
-EDGE = 9_000_000_000_000_000_000
+#: Values of more bins than this are kept as they are: doubles of that size differ by little less than a bin.
+EXACT_FROM = float(1 << 40)
 
 
 def summarise(df: DataFrame, groups: list[str], value: str, bins_per_unit: int = 10_000) -> DataFrame:
     """Counts of rounded values per group: ``groups, bin, n``. Combine parts with :func:`combine`.
 
-    ``bin`` is the value times ``bins_per_unit``, rounded, so the error of anything read from the summary is at most
-    ``0.5 / bins_per_unit`` and its size is bounded by the range of the values, not by the rows. Counts are combined
-    before the shuffle. Null and NaN are no values; infinities are values at the ends. Null groups are groups.
+    ``bin`` is the value rounded to a multiple of ``1 / bins_per_unit``, so the error of anything read from the
+    summary is at most ``0.5 / bins_per_unit`` and its size is bounded by the range of the values, not by the rows.
+    Values too large to be rounded so are kept exactly, infinities among them. Counts are combined before the
+    shuffle. Null and NaN are no values. Null groups are groups.
     """
     v = F.col(value).cast("double")
-    edge = F.lit(float(EDGE))
-    binned = F.greatest(F.least(F.round(v * F.lit(float(bins_per_unit))), edge), -edge).cast("long")
+    bins = F.lit(float(bins_per_unit))
+    binned = F.when(F.abs(v * bins) < F.lit(EXACT_FROM), F.round(v * bins) / bins).otherwise(v)
     values = df.where(F.col(value).isNotNull() & ~F.isnan(v)).select(*groups, binned.alias("bin"))
     return values.groupBy(*groups, "bin").agg(F.count(F.lit(1)).alias("n"))
 
@@ -32,9 +33,14 @@ def combine(summaries: list[DataFrame], groups: list[str]) -> DataFrame:
     return reduce(DataFrame.unionByName, summaries).groupBy(*groups, "bin").agg(F.sum("n").alias("n"))
 
 
-def _value(bin_: Column, bins_per_unit: int) -> Column:
-    infinite = F.when(bin_ >= EDGE, F.lit(float("inf"))).when(bin_ <= -EDGE, F.lit(float("-inf")))
-    return F.coalesce(infinite, bin_ / F.lit(float(bins_per_unit)))
+def keep(summary: DataFrame, folder: str, part: str) -> None:
+    """Store the summary of one part (a day, a file) in a folder of summaries; storing a part again replaces it."""
+    summary.write.mode("overwrite").parquet(f"{folder}/part={part}")
+
+
+def kept(spark: SparkSession, folder: str, parts: list[str]) -> list[DataFrame]:
+    """Stored summaries of some parts, to be combined."""
+    return [spark.read.parquet(f"{folder}/part={part}") for part in parts]
 
 
 def percentiles(summary: DataFrame, groups: list[str], permille: list[int], bins_per_unit: int = 10_000, partitions: int | None = None) -> DataFrame:
@@ -71,5 +77,5 @@ def percentiles(summary: DataFrame, groups: list[str], permille: list[int], bins
     running = running.where((steps[0] < steps[1]) | (F.col("upto") == F.col("n")))
     wanted = F.array(*[F.lit(q).cast("long") for q in permille])
     return running.withColumn("permille", F.explode(F.filter(wanted, reached))).select(
-        *groups, F.col("permille").cast("int").alias("permille"), "n_values", _value(F.col("bin"), bins_per_unit).alias("value"), F.lit(0.5 / bins_per_unit).alias("max_error")
+        *groups, F.col("permille").cast("int").alias("permille"), "n_values", F.col("bin").alias("value"), F.lit(0.5 / bins_per_unit).alias("max_error")
     )

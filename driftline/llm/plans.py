@@ -6,8 +6,8 @@ from driftline.llm.bpe import encode
 from driftline.llm.canonical import UNMATCHED, canonical, canonical_by_part
 from driftline.llm.components import components, star_edges
 from driftline.llm.mixing import mixture
-from driftline.llm.percentiles import combine, percentiles, summarise
-from driftline.runtime import table
+from driftline.llm.percentiles import combine, keep, kept, percentiles, summarise
+from driftline.runtime import new_path, table, written
 
 PERMILLE = list(range(10, 1000, 10))
 CATALOGUE = ("principal_desig", "number", "name", "other_desigs")
@@ -18,18 +18,19 @@ def _night_summary(spark, sf_dir):
 
 
 def p1_percentiles(spark, sf_dir):
-    """Percentiles of each night and filter, and of each filter over all nights (scope ``all``)."""
-    nights = _night_summary(spark, sf_dir)
+    """Percentiles of each night and filter, and of each filter over all nights (scope ``all``): alerts are read once."""
+    nights = written(_night_summary(spark, sf_dir), "nights").df
     whole = combine([nights], ["fid"]).withColumn("nid", F.lit(None).cast("int"))
     both = nights.withColumn("scope", F.lit("night")).unionByName(whole.withColumn("scope", F.lit("all")))
     return percentiles(both, ["scope", "nid", "fid"], PERMILLE)
 
 
 def p1_merged(spark, sf_dir):
-    """Quartiles per filter and 30 nights, from the summaries of odd and even nights combined."""
-    nights = _night_summary(spark, sf_dir).withColumn("period", F.floor(F.col("nid") / 30).cast("int"))
-    parts = [nights.where((F.col("nid") % 2 == k)).drop("nid") for k in (0, 1)]
-    return percentiles(combine(parts, ["period", "fid"]), ["period", "fid"], [250, 500, 750])
+    """Quartiles per filter and 30 nights, from stored summaries of odd and even nights combined."""
+    nights, folder = _night_summary(spark, sf_dir).withColumn("period", F.floor(F.col("nid") / 30).cast("int")), new_path(spark, "summaries")
+    for k in (0, 1):
+        keep(nights.where(F.col("nid") % 2 == k).drop("nid"), folder, str(k))
+    return percentiles(combine(kept(spark, folder, ["0", "1"]), ["period", "fid"]), ["period", "fid"], [250, 500, 750])
 
 
 def p4_found(spark, sf_dir):
@@ -88,12 +89,12 @@ with v as ({source}),
  r as (select *, sum(n) over (partition by {groups} order by bin rows unbounded preceding) as upto,
               sum(n) over (partition by {groups}) as n_values from c),
  q as (select unnest({permille}) as permille)
-select {groups}, cast(permille as int) as permille, cast(n_values as bigint) as n_values, bin / 10000.0::double as value, 0.00005::double as max_error
+select {groups}, cast(permille as int) as permille, cast(n_values as bigint) as n_values, bin as value, 0.00005::double as max_error
 from r join q on upto - n < greatest(1, (permille * n_values + 999) // 1000) and greatest(1, (permille * n_values + 999) // 1000) <= upto
 """
 
 
-_BINNED = "cast(round(magpsf * 10000.0::double) as bigint) as bin from alerts where magpsf is not null and not isnan(magpsf)"
+_BINNED = "case when abs(magpsf * 10000.0::double) < 1099511627776 then round(magpsf * 10000.0::double) / 10000.0::double else magpsf end as bin from alerts where magpsf is not null and not isnan(magpsf)"
 
 SQL = {
     "p1_percentiles": _percentile_sql(
