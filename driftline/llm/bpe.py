@@ -12,13 +12,15 @@ from itertools import chain
 import numpy as np
 import pyarrow as pa
 import regex
-from pyspark.sql import DataFrame
+from pyspark import SparkFiles
+from pyspark.sql import DataFrame, SparkSession
 
 #: The published pre-token pattern of this vocabulary.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 DEFAULT_FOLDER = "/opt/tokenizers"
-#: Encoded pre-tokens that a worker keeps; the store is emptied when full, which costs time but changes nothing.
-KEPT = 300_000
+#: Encoded pre-tokens that a worker keeps, and the letters of the longest it keeps, which bounds the store in bytes;
+#: it is emptied when full, and longer ones are merged each time: both cost time but change nothing.
+KEPT, KEPT_LETTERS = 300_000, 48
 
 
 class RankQueue:
@@ -70,6 +72,8 @@ class Encoder(dict):
         self.split = regex.compile(PATTERN).findall
 
     def __missing__(self, piece: str) -> tuple[int, ...]:
+        if len(piece) > KEPT_LETTERS:
+            return self.merge(piece.encode())
         if len(self) >= KEPT:
             self.clear()
         ids = self[piece] = self.merge(piece.encode())
@@ -135,9 +139,19 @@ def vocabulary(name: str = "byte_bpe_50k", folder: str = DEFAULT_FOLDER) -> str:
     return os.path.join(folder, f"{name}.tiktoken")
 
 
-def _encode(path: str):
+def _shipped(spark: SparkSession, path: str) -> str:
+    """Send the vocabulary to the workers, once per application: they need not have the folder. Returns the file's name."""
+    context = spark.sparkContext
+    sent = context.__dict__.setdefault("_driftline_files", set())
+    if path not in sent:
+        context.addFile(path)
+        sent.add(path)
+    return os.path.basename(path)
+
+
+def _encode(name: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = encoder(path)
+        own = encoder(SparkFiles.get(name))
         for batch in batches:
             ends, flat = [0], []
             for text in batch.column(1).to_pylist():
@@ -150,9 +164,9 @@ def _encode(path: str):
     return run
 
 
-def _count(path: str):
+def _count(name: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = encoder(path)
+        own = encoder(SparkFiles.get(name))
         for batch in batches:
             *others, texts = batch.columns
             counts = pa.array([own.count(t) for t in texts.to_pylist()], pa.int64())
@@ -166,11 +180,11 @@ def encode(df: DataFrame, key: str, text: str, vocabulary_path: str | None = Non
 
     Merging follows the ranks of the vocabulary through a bitmap rank queue, whose time stays near linear for very
     long pre-tokens. Null and empty texts have the empty list of ids. Special tokens in a text are ordinary text.
-    Rows repeated are encoded each. Workers read the vocabulary at ``vocabulary_path``.
+    Rows repeated are encoded each. The vocabulary is read at ``vocabulary_path`` by the driver and sent to the workers.
     """
-    path = vocabulary_path or vocabulary()
+    name = _shipped(df.sparkSession, vocabulary_path or vocabulary())
     kind = dict(df.dtypes)[key]
-    out = df.select(key, text).mapInArrow(_encode(path), f"key {kind}, ids array<int>")
+    out = df.select(key, text).mapInArrow(_encode(name), f"key {kind}, ids array<int>")
     return out.withColumnRenamed("key", key)
 
 
@@ -178,4 +192,4 @@ def count_tokens(df: DataFrame, keys: list[str], text: str, vocabulary_path: str
     """Sizes of texts in tokens: ``keys, n_tokens``; 0 for null and empty texts."""
     kinds = dict(df.dtypes)
     fields = ", ".join(f"`{k}` {kinds[k]}" for k in keys)
-    return df.select(*keys, text).mapInArrow(_count(vocabulary_path or vocabulary()), f"{fields}, n_tokens long")
+    return df.select(*keys, text).mapInArrow(_count(_shipped(df.sparkSession, vocabulary_path or vocabulary())), f"{fields}, n_tokens long")
