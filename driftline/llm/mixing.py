@@ -56,7 +56,7 @@ def _copies(u: Column, steps: Column) -> Column:
 def _targets(targets: DataFrame) -> list:
     """The table of targets: one row per source, a bound set by whoever mixes them."""
     rows = targets.where(F.col("source").isNotNull() & (F.col("target_share") > 0)).groupBy("source").agg(F.sum("target_share").alias("share"), F.max("max_repeats").alias("cap")).collect()
-    return sorted(((r.source, float(r.share), int(r.cap or 1)) for r in rows))
+    return sorted((r.source, float(r.share), 1 if r.cap is None else max(0, int(r.cap))) for r in rows)
 
 
 def plan(sized: DataFrame, targets: DataFrame, seed: int, total_tokens: int | None = None) -> list[dict]:
@@ -72,7 +72,7 @@ def plan(sized: DataFrame, targets: DataFrame, seed: int, total_tokens: int | No
     spark = sized.sparkSession
     named = F.broadcast(spark.createDataFrame([(s,) for s, _, _ in wanted], "source string"))  # as many rows as targets
     have = {r.source: int(r.n or 0) for r in sized.join(named, "source").groupBy("source").agg(F.sum("n_tokens").alias("n")).collect()}
-    live = [(s, share, cap) for s, share, cap in wanted if have.get(s, 0) > 0]
+    live = [(s, share, cap) for s, share, cap in wanted if have.get(s, 0) > 0 and cap > 0]
     share_sum = sum(share for _, share, _ in live)
     corpus = total_tokens or sum(have.values())
     size = min([corpus, *(cap * have[s] * share_sum / share for s, share, cap in live)])
@@ -110,6 +110,9 @@ def mixture(df: DataFrame, key: str, source: str, text: str, targets: DataFrame,
     the same however the data are partitioned. No document comes more than ``max_repeats`` times. A source that
     holds most rows is no hot key: nothing is grouped by source but partial sums.
 
+    The cap holds for each row of ``df``; rows that share a key are documents of their own with one draw. A null cap
+    means no repetition, a cap of 0 or less leaves the source out, its share going to the others.
+
     The shares have one row per source of ``targets``. Documents of null or unnamed sources are not part of a
     mixture; null and empty texts have no tokens but count as documents. Null keys share one draw. An empty corpus
     gives an empty mixture and shares of 0.
@@ -122,7 +125,7 @@ def mixture(df: DataFrame, key: str, source: str, text: str, targets: DataFrame,
         [(r["source"], r["target_share"], r["max_repeats"], r["tokens_available"], r["tokens_used"], r["tokens_used"] / max(1, r["tokens_available"]), r["actual_share"]) for r in rows],
         "source string, target_share double, max_repeats int, tokens_available long, tokens_used long, repetition double, actual_share double",
     )
-    steps = spark.createDataFrame([(r["source"], poisson_steps(r["rate"], r["max_repeats"])) for r in rows if r["tokens_available"]], "source string, steps array<double>")
+    steps = spark.createDataFrame([(r["source"], poisson_steps(r["rate"], r["max_repeats"])) for r in rows if r["tokens_available"] and r["max_repeats"]], "source string, steps array<double>")
     drawn = named.join(F.broadcast(steps), "source")  # as many rows as targets
     copies = drawn.withColumn("copies", _copies(uniform("doc_id", seed=seed), F.col("steps"))).where("copies > 0")
     out = copies.select("doc_id", "source", F.explode(F.sequence(F.lit(1), F.col("copies"))).alias("copy_no"), "text")
