@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from driftline.runtime import Written, written
+from driftline.runtime import drop_path, latest, new_path, publish, within, written
 
 LAST = np.iinfo(np.int64).max
 RUN = "prefix int, ids array<long>, at array<long>, delivery array<long>"
@@ -33,16 +34,22 @@ def best_first(ids: np.ndarray, at: np.ndarray, delivery: np.ndarray) -> tuple[n
     return order, first
 
 
+def prefix_of(ids: np.ndarray, prefixes: int) -> np.ndarray:
+    """The hash prefix of identifiers; with twice the prefixes, each one's identifiers go to two of the new ones."""
+    mixed = ids.astype(np.int64).view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)  # fixed value: 2^64 by the golden ratio
+    return ((mixed >> np.uint64(32)) % np.uint64(prefixes)).astype(np.int32)
+
+
 def _spread(prefixes: int):
     """Within each Arrow batch, mark all copies but the best as lost and send them anywhere: no prefix gets a hot id whole."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, at, delivery, prefix = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(4))
+            ids, at, delivery = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(3))
             order, first = best_first(ids, at, delivery)
             lost = np.ones(len(ids), bool)
             lost[order[first]] = False
-            prefix = np.where(lost, np.arange(len(ids)) % prefixes, prefix).astype(np.int32)
+            prefix = np.where(lost, np.arange(len(ids)) % prefixes, prefix_of(ids, prefixes)).astype(np.int32)
             yield pa.RecordBatch.from_arrays([pa.array(x) for x in (ids, at, delivery, prefix, lost)], ["id", "at", "delivery", "prefix", "lost"])
 
     return run
@@ -80,68 +87,101 @@ def _take(prefix: tuple, batch: pa.Table, index: pa.Table) -> pa.Table:
     )
 
 
-def _merge(prefix: tuple, runs: pa.Table) -> pa.Table:
-    ids, at, delivery = (_flat(runs, c) for c in ("ids", "at", "delivery"))
-    order, first = best_first(ids, at, delivery)
-    keep = order[first]
-    return pa.table({"prefix": pa.array([prefix[0]], pa.int32())} | {k: _listed(v[keep]) for k, v in (("ids", ids), ("at", at), ("delivery", delivery))})
+def _merge(prefixes: int):
+    """One prefix of all runs as one run, by the number of prefixes there are to be."""
+
+    def run(prefix: tuple, runs: pa.Table) -> pa.Table:
+        ids, at, delivery = (_flat(runs, c) for c in ("ids", "at", "delivery"))
+        order, first = best_first(ids, at, delivery)
+        keep = order[first]
+        ids, at, delivery = ids[keep], at[keep], delivery[keep]
+        to = prefix_of(ids, prefixes)
+        parts = [(k, np.flatnonzero(to == k)) for k in np.unique(to)]
+        lists = {
+            name: pa.ListArray.from_arrays(pa.array(np.cumsum([0, *(len(w) for _, w in parts)]), pa.int32()), pa.array(np.concatenate([x[w] for _, w in parts]) if parts else x, pa.int64()))
+            for name, x in (("ids", ids), ("at", at), ("delivery", delivery))
+        }
+        return pa.table({"prefix": pa.array([k for k, _ in parts], pa.int32())} | lists)
+
+    return run
 
 
 class DeliveryIndex:
     """Identifiers seen so far with the copy kept of each, as sorted arrays by hash prefix in immutable runs.
 
     ``ingest`` takes a batch of (id, at, delivery): each prefix of it is searched in the runs of that prefix by
-    binary search, what is new is made unique locally and written as a further run. Every ``merge_every`` runs are
-    merged into one. The copy kept is the one with the smallest (at, delivery); a better copy that comes later
-    takes its place and the former one becomes surplus, so results do not depend on the order of the batches.
-    Runs live in the folder that all executors share; a lost executor costs the repetition of its tasks alone.
+    binary search, what is new is made unique locally and written as a further run. After every ``merge_every`` runs
+    they are merged into one, and prefixes are doubled as long as they hold more than ``prefix_rows`` identifiers,
+    so a task's share stays of one size as days come in. The copy kept is the one with the smallest (at, delivery);
+    a better copy that comes later takes its place and the former one becomes surplus, so results do not depend on
+    the order of the batches.
+
+    Runs live under ``folder``, which all executors share; the runs in force are named by a record that is replaced
+    as a whole, so an index can be opened again at any time, also after a crash, and stands as after the last
+    complete batch. A lost executor costs the repetition of its tasks alone.
     """
 
-    def __init__(self, spark: SparkSession, prefixes: int, merge_every: int = 4):
-        self.spark, self.prefixes, self.merge_every = spark, prefixes, merge_every
-        self.runs: list[Written] = []
+    def __init__(self, spark: SparkSession, folder: str, prefixes: int = 4, merge_every: int = 4, prefix_rows: int = 400_000):
+        self.spark, self.folder, self.merge_every, self.prefix_rows = spark, folder.rstrip("/"), merge_every, prefix_rows
+        record = latest(spark, f"{self.folder}/records") or {"prefixes": prefixes, "runs": []}
+        self.prefixes: int = record["prefixes"]
+        self.runs: list[list] = record["runs"]  # [path, identifiers]
+
+    def _publish(self, runs: list[list], prefixes: int) -> None:
+        publish(self.spark, f"{self.folder}/records", {"prefixes": prefixes, "runs": runs})
+        self.runs, self.prefixes = runs, prefixes
+
+    def _index(self) -> DataFrame:
+        parts = [self.spark.read.schema(RUN).parquet(path) for path, _ in self.runs]
+        return reduce(DataFrame.unionByName, parts) if parts else self.spark.createDataFrame([], RUN)
+
+    def _run(self, df: DataFrame, label: str) -> tuple[DataFrame, list]:
+        run = written(df, label, within=self.folder, n=F.sum(F.size("ids")))
+        return run.df, [run.path, run.seen["n"] or 0]
 
     def ingest(self, batch: DataFrame) -> DataFrame:
         """Deliveries that became surplus by this batch: ``id, delivery``."""
-        rows = batch.select("id", "at", "delivery", F.pmod(F.xxhash64("id"), F.lit(self.prefixes)).cast("int").alias("prefix"))
-        rows = rows.mapInArrow(_spread(self.prefixes), "id long, at long, delivery long, prefix int, lost boolean")
-        index = self.spark.createDataFrame([], RUN) if not self.runs else None
-        for run in self.runs:
-            part = run.df.select("prefix", "ids", "at", "delivery")
-            index = part if index is None else index.unionByName(part)
-        step = written(rows.groupBy("prefix").cogroup(index.groupBy("prefix")).applyInArrow(_take, STEP), "deliveries")
-        self.runs.append(step)
+        rows = batch.select("id", "at", "delivery").mapInArrow(_spread(self.prefixes), "id long, at long, delivery long, prefix int, lost boolean")
+        step, run = self._run(rows.groupBy("prefix").cogroup(self._index().groupBy("prefix")).applyInArrow(_take, STEP), "run")
+        self._publish([*self.runs, run], self.prefixes)
         if len(self.runs) > self.merge_every:
             self.merge()
-        return step.df.select(F.explode(F.arrays_zip("surplus_of", "surplus")).alias("x")).select(
+        return step.select(F.explode(F.arrays_zip("surplus_of", "surplus")).alias("x")).select(
             F.col("x.surplus_of").alias("id"), F.col("x.surplus").alias("delivery")
         )
 
     def merge(self) -> None:
-        """Merge all runs into one; their files stay, as results may still read them."""
-        runs = None
-        for run in self.runs:
-            part = run.df.select("prefix", "ids", "at", "delivery")
-            runs = part if runs is None else runs.unionByName(part)
-        self.runs = [written(runs.groupBy("prefix").applyInArrow(_merge, RUN), "delivery-index")]
+        """Merge all runs into one. Their files stay, as results may still read them; :meth:`vacuum` removes them."""
+        prefixes, n = self.prefixes, sum(n for _, n in self.runs)
+        while n > prefixes * self.prefix_rows:
+            prefixes *= 2
+        _, run = self._run(self._index().groupBy("prefix").applyInArrow(_merge(prefixes), RUN), "merged")
+        self._publish([run], prefixes)
+
+    def vacuum(self) -> None:
+        """Remove runs that are no longer in force; surplus deliveries not yet read from them are lost."""
+        for path in within(self.spark, self.folder):
+            if not path.endswith("/records") and path.split("/")[-1] not in {p.split("/")[-1] for p, _ in self.runs}:
+                drop_path(self.spark, path)
 
     def kept(self) -> DataFrame:
         """The copy kept of each identifier: ``id, at, delivery``."""
-        if not self.runs:
-            return self.spark.createDataFrame([], "id long, at long, delivery long")
-        self.merge()
-        zipped = self.runs[0].df.select(F.explode(F.arrays_zip("ids", "at", "delivery")).alias("x"))
+        if len(self.runs) > 1:
+            self.merge()
+        zipped = self._index().select(F.explode(F.arrays_zip("ids", "at", "delivery")).alias("x"))
         return zipped.select(F.col("x.ids").alias("id"), F.col("x.at").alias("at"), F.col("x.delivery").alias("delivery"))
 
 
 def surplus_deliveries(
-    df: DataFrame, ident: str, at: str, delivery: str, batch: str, waves: int = 3, prefix_rows: int = 400_000
+    df: DataFrame, ident: str, at: str, delivery: str, batch: str, waves: int = 6, prefix_rows: int = 400_000, folder: str | None = None
 ) -> DataFrame:
     """All deliveries of an ``ident`` but the one with the smallest (``at``, ``delivery``): ``ident, delivery``.
 
-    The table is taken in as ``waves`` of about equal size in the order of ``batch``, through :class:`DeliveryIndex`.
-    Prefixes grow with the rows, so that a task holds about ``prefix_rows`` of them at any scale. Copies of one
-    identifier are reduced to one per Arrow batch before they are sent to their prefix, so a hot one fills none.
+    The table is taken in as ``waves`` of about equal size in the order of ``batch``, through :class:`DeliveryIndex`,
+    whose runs are merged on the way. Prefixes grow with the rows, so that a task holds about ``prefix_rows`` of them
+    at any scale. Copies of one identifier are reduced to one per Arrow batch before they are sent to their prefix,
+    so a hot one fills none. The index is a new one unless a ``folder`` is named, whose identifiers then count as
+    seen.
 
     A null ident names no message: such rows are never surplus. Null ``at`` or ``delivery`` come after all others;
     a null ``batch`` is taken in last. Rows repeated as a whole are copies like others. Empty input gives no rows.
@@ -156,7 +196,8 @@ def surplus_deliveries(
     steps = [k / waves for k in range(1, waves)]
     about = rows.agg(F.count(F.lit(1)).alias("n"), F.percentile_approx("batch", steps, F.lit(1000)).alias("cuts")).first()
     cuts = sorted(set(about.cuts or []))
-    index, found = DeliveryIndex(spark, max(4, -(-about.n // prefix_rows))), None
+    index = DeliveryIndex(spark, folder or new_path(spark, "deliveries"), max(4, -(-about.n // (waves * prefix_rows))), prefix_rows=prefix_rows)
+    found = None
     for low, high in zip([None, *cuts], [*cuts, None]):
         wave = F.lit(True) if low is None else F.col("batch").isNull() | (F.col("batch") > low)
         if high is not None:

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -107,31 +105,30 @@ def local_pairs(lon: np.ndarray, lat: np.ndarray, radius_arcsec: float) -> tuple
     return i[keep], j[keep], sep[keep]
 
 
-def _assign(pivots: np.ndarray, radius: float):
-    """Batches of points to rows of (group, cell, home): the nearest pivot's cell, and visits to lower-numbered ones."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            group, ident, lon, lat, cells = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(5))
-            xyz = unit_vectors(lon, lat)
-            rows, where, home = [], [], []
-            for m in np.unique(cells):
-                members = np.flatnonzero(cells == m)
-                for some in np.array_split(members, max(1, len(members) * int(m) // 4_000_000)):
-                    dots = xyz[some] @ pivots[:m].T
-                    own = dots.argmax(axis=1)
-                    nearest = angle(xyz[some], pivots[own])
-                    limit = np.cos(np.minimum(np.pi, nearest + 2 * radius + SLACK))
-                    visits = (dots >= limit[:, None]) & (np.arange(m)[None, :] < own[:, None])
-                    p, c = np.nonzero(visits)
-                    rows += [some, some[p]]
-                    where += [own, c]
-                    home += [np.ones(len(some), bool), np.zeros(len(p), bool)]
-            at = np.concatenate(rows) if rows else np.zeros(0, int)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(x) for x in (group[at], np.concatenate(where).astype(np.int32) if rows else np.zeros(0, np.int32), ident[at], lon[at], lat[at], np.concatenate(home) if rows else np.zeros(0, bool))],
-                ["grp", "cell", "id", "lon", "lat", "home"],
-            )
+def _assign(radius: float):
+    """One part of a group's points and all its pivots to rows of (group, cell, home): the nearest pivot's cell, and
+    visits to lower-numbered ones."""
+
+    def run(key: tuple, points: pa.Table, pivots: pa.Table) -> pa.Table:
+        ident, lon, lat = (points.column(c).to_numpy() for c in ("id", "lon", "lat"))
+        pivots = pivots.sort_by("of_id")  # all parts must number the cells alike
+        where = unit_vectors(pivots.column("of_lon").to_numpy(), pivots.column("of_lat").to_numpy()) if pivots.num_rows else np.zeros((1, 3))
+        xyz, m = unit_vectors(lon, lat), len(where)
+        rows, cells, home = [], [], []
+        for some in np.array_split(np.arange(len(ident)), max(1, len(ident) * m // 4_000_000)):
+            dots = xyz[some] @ where.T
+            own = dots.argmax(axis=1)
+            nearest = angle(xyz[some], where[own])
+            limit = np.cos(np.minimum(np.pi, nearest + 2 * radius + SLACK))
+            p, c = np.nonzero((dots >= limit[:, None]) & (np.arange(m)[None, :] < own[:, None]))
+            rows += [some, some[p]]
+            cells += [own, c]
+            home += [np.ones(len(some), bool), np.zeros(len(p), bool)]
+        at = np.concatenate(rows)
+        return pa.table({
+            "grp": np.full(len(at), key[0], np.int64), "cell": np.concatenate(cells).astype(np.int32), "id": ident[at],
+            "lon": lon[at], "lat": lat[at], "home": np.concatenate(home),
+        })
 
     return run
 
@@ -160,37 +157,43 @@ def pairs_within(
     group: str,
     radius_arcsec: float,
     cell_points: int = 1500,
-    max_pivots: int = 4096,
+    max_pivots: int = 16384,
+    part_points: int = 200_000,
 ) -> DataFrame:
     """Every pair of different ``ident`` of one ``group`` at most ``radius_arcsec`` apart, once: ``group, a, b, sep_arcsec``.
 
     Points go to the Voronoi cell of the nearest of some pivots. By the triangle inequality a point within r of a
     cell's point is at most 2 r farther from that cell's pivot than from its own, so such points also visit that
     cell; visiting only lower-numbered cells makes each pair appear in one cell alone. Each cell is joined by a
-    vantage-point tree under the exact great-circle metric. The pivots are points with the lowest hashes, at most
-    ``max_pivots``; a group of n points uses the first ``ceil(n / cell_points)`` of them, so cells stay of one size
-    as groups grow. Pivots change the balance only, never the result. Cells that are too full all the same (a hot
-    spot) are cut into blocks, and every pair of blocks is joined by itself: nothing is capped.
+    vantage-point tree under the exact great-circle metric. The pivots of a group are points of its own, chosen by
+    hash, about one in ``cell_points`` and ``max_pivots`` at most on average, so they lie where its points are and
+    cells stay of one size as groups grow. Large groups are assigned in parts of ``part_points``, each with all pivots
+    of its group: neither points nor pivots pass the driver. Pivots change the balance only, never the result. Cells
+    that are too full all the same (a hot spot) are cut into blocks, and every pair of blocks is joined by itself:
+    nothing is capped.
 
     ``ident`` and ``group`` are integers. Rows with a null in a used column or a NaN or infinite coordinate pair
     with nothing; copies of one ident of a group count once (its smallest position); longitudes may follow
     either convention (-180..180 or 0..360). Empty input gives no pairs. Other columns are not read.
     """
-    spark, radius = df.sparkSession, float(np.radians(radius_arcsec / 3600))
+    radius = float(np.radians(radius_arcsec / 3600))
     sane = [F.abs(F.col(c)) < F.lit(float("inf")) for c in (lon, lat)]  # also drops NaN, which is above infinity
     raw = df.where(F.col(ident).isNotNull() & F.col(group).isNotNull() & sane[0] & sane[1]).select(
         F.col(group).cast("long").alias("grp"), F.col(ident).cast("long").alias("id"), F.col(lon).cast("double").alias("lon"), F.col(lat).cast("double").alias("lat")
     )
-    sizes = raw.groupBy("grp").agg(F.least(F.lit(max_pivots), F.ceil(F.count(F.lit(1)) / F.lit(cell_points))).cast("int").alias("cells"))
-    need = sizes.agg(F.max("cells")).first()[0] or 1
-    low = raw.select("lon", "lat").orderBy(F.xxhash64("id"), "id").limit(need).collect()  # at most max_pivots rows
-    pivots = unit_vectors(np.array([r.lon for r in low]), np.array([r.lat for r in low])) if low else np.zeros((1, 3))
     points = raw.groupBy("grp", "id").agg(F.min(F.struct("lon", "lat")).alias("at")).select("grp", "id", "at.lon", "at.lat")
-    placed = written(
-        points.join(sizes, "grp").select("grp", "id", "lon", "lat", F.least("cells", F.lit(len(pivots))).alias("cells"))
-        .mapInArrow(_assign(pivots, radius), "grp long, cell int, id long, lon double, lat double, home boolean"),
-        "cells",
-    ).df
+    n = F.count(F.lit(1))
+    sizes = raw.groupBy("grp").agg(  # from all rows: copies make it an estimate, which is enough
+        F.least(F.lit(1.0 / cell_points), F.lit(float(max_pivots)) / n).alias("share"),
+        F.when(n > cell_points, F.ceil(n / F.lit(part_points))).otherwise(0).cast("int").alias("parts"),
+    )
+    sized = points.join(sizes, "grp")
+    draw = F.shiftrightunsigned(F.xxhash64("id", F.lit(3)), 11) / F.lit(float(1 << 53))
+    chosen = sized.where((F.col("parts") > 0) & (draw < F.col("share")))
+    chosen = chosen.select(*[F.col(c).alias(f"of_{c}") for c in ("grp", "id", "lon", "lat")], F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("of_part"))
+    parted = sized.select("grp", "id", "lon", "lat", F.pmod(F.xxhash64("id"), F.greatest(F.lit(1), F.col("parts"))).cast("int").alias("part"))
+    assigned = parted.groupBy("grp", "part").cogroup(chosen.groupBy("of_grp", "of_part")).applyInArrow(_assign(radius), "grp long, cell int, id long, lon double, lat double, home boolean")
+    placed = written(assigned, "cells").df
     full = 8 * cell_points
     counts = placed.groupBy("grp", "cell").agg(F.ceil(F.count(F.lit(1)) / F.lit(full)).cast("int").alias("blocks")).where("blocks > 1")
     blocked = (

@@ -5,15 +5,18 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from driftline.runtime import written
 
-def heavy_keys(df: DataFrame, key: str, share: float) -> DataFrame:
-    """Keys holding more than ``share`` of all rows, with their row counts.
 
-    There can be at most ``1 / share`` of them, which bounds what may be broadcast.
+def heavy_keys(df: DataFrame, key: str, share: float, rows_per_salt: int) -> DataFrame:
+    """Keys that hold more than ``share`` of all rows and more than ``rows_per_salt``, with their row counts.
+
+    There can be at most ``1 / share`` of them, which bounds what may be broadcast. Rows are read once, for the
+    counts by key; their sum is taken while those are written.
     """
-    rows = df.count()
     counts = df.groupBy(F.col(key).alias("heavy_key")).agg(F.count(F.lit(1)).alias("heavy_rows"))
-    return counts.where(F.col("heavy_rows") > F.lit(max(1.0, rows * share)))
+    counts = written(counts, "key-counts", total=F.sum("heavy_rows"))
+    return counts.df.where(F.col("heavy_rows") > F.lit(max(float(rows_per_salt), (counts.seen["total"] or 0) * share)))
 
 
 def with_salt(df: DataFrame, key: str, item: str, share: float, rows_per_salt: int) -> DataFrame:
@@ -22,8 +25,8 @@ def with_salt(df: DataFrame, key: str, item: str, share: float, rows_per_salt: i
     The salt is a hash of ``item``, as good as random over items but the same for all copies of one,
     so counts of distinct items per salt may be added up.
     """
-    heavy = F.broadcast(heavy_keys(df, key, share))  # at most 1 / share rows
-    salts = F.greatest(F.lit(1), F.ceil(F.col("heavy_rows") / F.lit(rows_per_salt)))
+    heavy = F.broadcast(heavy_keys(df, key, share, rows_per_salt))  # at most 1 / share rows
+    salts = F.ceil(F.col("heavy_rows") / F.lit(rows_per_salt))
     salt = F.when(F.col("heavy_rows").isNull(), 0).otherwise(F.pmod(F.coalesce(F.xxhash64(item), F.lit(0)), salts))
     return df.join(heavy, F.col(key) == F.col("heavy_key"), "left").withColumn("salt", salt.cast("int")).drop("heavy_key", "heavy_rows")
 
@@ -33,9 +36,10 @@ def salted_distinct(
 ) -> DataFrame:
     """Per (``key``, ``part``): rows, distinct ``item`` and the range of ``stored``, without a straggling task.
 
-    Two stages: rows go out by (key, part, salt), where heavy keys have many salts; the partial results of each
-    salt are then merged by (key, part). The first exchange serves both the removal of copies and the partial
-    counts. No row is dropped or sampled.
+    Two stages over salts of heavy keys: partial results of each (key, part, salt), then merged by (key, part).
+    Copies of an item are combined before the first exchange, so an item delivered any number of times crosses it
+    once a task; items spread over all tasks by (key, part, salt, item), and what is exchanged after that are sums.
+    No row is dropped or sampled. Keys too light to be salted hold less than ``share`` of the rows.
 
     Nulls: rows with a null key are left out, a null ``part`` is a group of its own, null items count as rows but
     not as items, null ``stored`` values are ignored (the range is null if all are). Empty input gives no rows.
@@ -44,8 +48,7 @@ def salted_distinct(
     rows = df.where(F.col(key).isNotNull()).select(
         F.col(key).alias("k"), F.col(part).alias("p"), F.col(item).alias("i"), F.col(stored).alias("s")
     )
-    spread = with_salt(rows, "k", "i", share, rows_per_salt).repartition("k", "p", "salt")
-    items = spread.groupBy("k", "p", "salt", "i").agg(
+    items = with_salt(rows, "k", "i", share, rows_per_salt).groupBy("k", "p", "salt", "i").agg(
         F.count(F.lit(1)).alias("n"), F.min("s").alias("lo"), F.max("s").alias("hi")
     )
     partial = items.groupBy("k", "p", "salt").agg(

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import os
 import tempfile
 import uuid
@@ -55,6 +56,37 @@ def drop_path(spark: SparkSession, path: str) -> None:
     jpath.getFileSystem(spark._jsc.hadoopConfiguration()).delete(jpath, True)
 
 
+def _files(spark: SparkSession, folder: str):
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    return path, path.getFileSystem(spark._jsc.hadoopConfiguration())
+
+
+def _published(spark: SparkSession, folder: str) -> list[str]:
+    path, files = _files(spark, folder)
+    if not files.exists(path):
+        return []
+    names = [status.getPath().getName() for status in files.listStatus(path)]
+    done = spark._jvm.org.apache.hadoop.fs.Path
+    return sorted(n for n in names if n.startswith("record-") and files.exists(done(f"{folder}/{n}/_SUCCESS")))
+
+
+def publish(spark: SparkSession, folder: str, record: dict, keep: int = 2) -> None:
+    """Make ``record`` the newest of a folder. It is written beside the former ones and counts once it is complete, so
+    a crash leaves the former one in force; only the last ``keep`` stay."""
+    before = _published(spark, folder)
+    number = int(before[-1].split("-")[1]) + 1 if before else 0
+    new = f"{folder}/record-{number:012d}"
+    spark.createDataFrame([(json.dumps(record),)], "value string").coalesce(1).write.mode("overwrite").text(new)
+    for name in before[: max(0, len(before) + 1 - keep)]:
+        drop_path(spark, f"{folder}/{name}")
+
+
+def latest(spark: SparkSession, folder: str) -> dict | None:
+    """The newest complete record of :func:`publish`, if there is any."""
+    names = _published(spark, folder)
+    return json.loads(spark.read.text(f"{folder}/{names[-1]}").first()[0]) if names else None
+
+
 @dataclass
 class Written:
     """A table in the shared folder, with the aggregates observed while it was written."""
@@ -73,12 +105,19 @@ class Written:
         drop_path(self.spark, self.path)
 
 
-def written(df: DataFrame, label: str, **observe) -> Written:
-    """Write ``df`` to the shared folder and read it back: later stages survive the loss of any executor.
+def within(spark: SparkSession, folder: str) -> list[str]:
+    """Paths of what a folder holds."""
+    path, files = _files(spark, folder)
+    return sorted(str(status.getPath()) for status in files.listStatus(path)) if files.exists(path) else []
+
+
+def written(df: DataFrame, label: str, within: str | None = None, **observe) -> Written:
+    """Write ``df`` to the shared folder (or ``within`` another) and read it back: later stages survive the loss of any executor.
 
     ``observe`` names aggregates that are computed while writing, at no cost of another pass.
     """
-    spark, path = df.sparkSession, new_path(df.sparkSession, label)
+    spark = df.sparkSession
+    path = f"{within}/{label}-{uuid.uuid4().hex}" if within else new_path(spark, label)
     observation = Observation()
     out = df.observe(observation, F.count(F.lit(1)).alias("rows"), *[v.alias(k) for k, v in observe.items()])
     out.write.parquet(path)

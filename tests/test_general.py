@@ -12,6 +12,7 @@ from hypothesis import strategies as st
 from driftline.operators.deliveries import DeliveryIndex, surplus_deliveries
 from driftline.operators.nearby import VantageTree, local_pairs, pairs_within, separation_arcsec, unit_vectors
 from driftline.operators.skew import heavy_keys, salted_distinct, stale_counts
+from driftline.runtime import within
 
 COUNTS = "name string, month int, candid long, stored int, k string, p string, salt string"
 
@@ -43,7 +44,17 @@ def test_salted_counts_equal_plain_ones(spark):
 
 def test_heavy_keys_are_few(spark):
     df = spark.createDataFrame(count_rows(), COUNTS)
-    assert {r.heavy_key for r in heavy_keys(df, "name", 0.3).collect()} == {"hot"}
+    assert {r.heavy_key for r in heavy_keys(df, "name", 0.3, 10).collect()} == {"hot"}
+    assert heavy_keys(df, "name", 0.3, 10_000).count() == 0
+
+
+def test_an_item_delivered_often_crosses_the_exchange_once_a_task(spark):
+    df = spark.range(200_000, numPartitions=4).selectExpr("'hot' as name", "1 as month", "7L as candid", "1 as stored")
+    out = salted_distinct(df, "name", "month", "candid", "stored", rows_per_salt=1000)
+    assert [(r.n_rows, r.n_distinct) for r in out.collect()] == [(200_000, 1)]
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    first_exchange = [line for line in plan.splitlines() if "Exchange hashpartitioning" in line][-1]
+    assert "salt" in first_exchange and "HashAggregate" in plan.split(first_exchange)[1].splitlines()[1]
 
 
 def test_counts_of_nothing(spark):
@@ -78,7 +89,7 @@ def test_pairs_equal_brute_force_with_small_cells_and_blocks(spark):
     points = sky_points(400, 1) + [(1, 900, None, 1.0), (1, 901, float("nan"), 1.0), (None, 902, 0.0, 10.0), (1, None, 0.0, 10.0), (1, 903, 5.0, float("inf"))]
     points += [(1, 910 + k, 77.0, 7.0) for k in range(30)] + points[:20]  # one hot spot, copies
     df = spark.createDataFrame([(*p, "x", 1) for p in points], "nid int, candid long, ra double, dec double, grp string, cell int")
-    for sizes in ({"cell_points": 10}, {"cell_points": 40, "max_pivots": 3}, {}):
+    for sizes in ({"cell_points": 10}, {"cell_points": 40, "max_pivots": 3, "part_points": 50}, {}):
         found = [(r.nid, r.a, r.b) for r in pairs_within(df, "candid", "ra", "dec", "nid", 150.0, **sizes).collect()]
         assert len(found) == len(set(found))
         assert set(found) == brute(sorted(set(points), key=repr), 150.0)
@@ -134,13 +145,26 @@ def test_surplus_is_all_but_the_first_received(spark, waves):
     assert sorted((r.candid, r.delivery_id) for r in got) == surplus_of(rows)
 
 
-def test_index_over_many_batches_merges_and_keeps_one_each(spark):
-    index, rows = DeliveryIndex(spark, prefixes=3, merge_every=2), [(c % 20, 100 - c, c) for c in range(60)]
-    lost = []
-    for k in range(5):
+def test_index_is_opened_again_merges_splits_and_keeps_one_each(spark, tmp_path):
+    rows, lost = [(c % 20, 100 - c, c) for c in range(60)], []
+    for k in range(5):  # another process each time: nothing but the folder is handed on
+        index = DeliveryIndex(spark, str(tmp_path), prefixes=3, merge_every=2, prefix_rows=4)
         lost += [(r.id, r.delivery) for r in index.ingest(spark.createDataFrame(rows[k * 12 : k * 12 + 12], "id long, at long, delivery long")).collect()]
+    index = DeliveryIndex(spark, str(tmp_path), prefixes=99)
+    assert index.prefixes in (6, 12) and len(index.runs) < 5
     kept = {(r.id, r.delivery) for r in index.kept().collect()}
     assert kept == {(c % 20, c) for c in range(40, 60)} and sorted(lost) == sorted((c % 20, c) for c in range(40))
+    index.vacuum()
+    again = DeliveryIndex(spark, str(tmp_path))
+    assert {(r.id, r.delivery) for r in again.kept().collect()} == kept and len(within(spark, str(tmp_path))) == 2
+
+
+def test_a_batch_that_failed_leaves_the_index_as_it_was(spark, tmp_path):
+    index = DeliveryIndex(spark, str(tmp_path), prefixes=2)
+    index.ingest(spark.createDataFrame([(1, 1, 1)], "id long, at long, delivery long"))
+    with pytest.raises(Exception):
+        index.ingest(spark.sql("select 2L as id, 1L as at, cast(raise_error('lost') as bigint) as delivery"))
+    assert {(r.id, r.delivery) for r in DeliveryIndex(spark, str(tmp_path)).kept().collect()} == {(1, 1)}
 
 
 def test_surplus_of_nothing_and_of_repeated_rows(spark):
