@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import argparse
+from dataclasses import replace
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -10,6 +11,7 @@ from pyspark.sql import functions as F
 from driftline.operators import metrics
 from driftline.operators.nightly import process_night, split_by_size
 from driftline.operators.orbit_fit import fit_orbits, merge_orbits
+from driftline.runtime import within
 from driftline.schema import ORBIT, LinkConfig, coerced
 from driftline.session import local_session
 from driftline.sources.alerts import night_scan, text_alerts
@@ -52,12 +54,16 @@ def take_in(store: StateStore, alerts: DataFrame, night: int, cfg: LinkConfig, o
 
 
 def solve(spark: SparkSession, store: StateStore, cfg: LinkConfig, output: str) -> DataFrame:
-    """Fit trajectories of enough points; all of them, fitted or not, leave the state for the orbit tables."""
+    """Fit trajectories of enough points; all of them, fitted or not, leave the state for the orbit tables.
+
+    Rows go to the tables under the state's last night and highest id, so a retry replaces them.
+    """
     state = store.load()
     small, long = split_by_size(state.trajectories, cfg.orbit_points)
-    append_orbits(fit_orbits(long, cfg.orbit_points), f"{output}/orbits")
-    append_orbits(long, f"{output}/orbit_points")
-    store.save(type(state)(small, state.old_alerts, state.next_id, state.last_nid))
+    key = f"{state.last_nid}-{long.agg(F.max('trajectory_id')).first()[0]}"
+    append_orbits(fit_orbits(long, cfg.orbit_points), f"{output}/orbits", key)
+    append_orbits(long, f"{output}/orbit_points", key)
+    store.save(replace(state, trajectories=small, archived=None))
     return spark.read.schema(ORBIT).parquet(f"{output}/orbits")
 
 
@@ -65,10 +71,9 @@ def report(spark: SparkSession, store: StateStore, output: str, catalogue: str |
     state = store.load()
     sizes = state.trajectories.groupBy("trajectory_id").agg(F.count(F.lit(1)).alias("size"))
     out = {"sizes": sizes.groupBy("size").agg(F.count(F.lit(1)).alias("n")).orderBy("size"), "associations": metrics.association_statistics(state.trajectories)}
-    try:
-        orbits = spark.read.schema(ORBIT).parquet(f"{output}/orbits")
-    except Exception:  # no orbit was solved yet
+    if not within(spark, f"{output}/orbits"):  # no orbit was solved yet
         return out
+    orbits = spark.read.schema(ORBIT).parquet(f"{output}/orbits")
     good = orbits.where("a <> -1")
     out["elements"] = metrics.described(good, ["a", "e", "i", "chi_reduced"])
     out["types"] = good.groupBy(metrics.orbit_type(F.col("a"), F.col("e")).alias("type")).agg(F.count(F.lit(1)).alias("n"))

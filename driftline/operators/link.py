@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -50,23 +52,43 @@ def ranked(pairs: DataFrame) -> DataFrame:
     return pairs.withColumn("rk", F.row_number().over(Window.partitionBy("l.trajectory_id").orderBy(differs, F.col("r.jd"), F.col("r.candid"))))
 
 
-def grow(trajectories: DataFrame, pairs: DataFrame, additions: DataFrame, tag: str, first_id: int) -> tuple[DataFrame, DataFrame]:
-    """Extended trajectories and their forks, as rows.
+@dataclass(frozen=True)
+class Growth:
+    """What one pass adds: new rows (copies made by forks, and additions), the pairs with their ``new_id``, and counts."""
+
+    rows: DataFrame
+    used: DataFrame
+    n_pairs: int
+    n_forks: int
+
+
+def growth(trajectories: DataFrame, pairs: DataFrame, additions: DataFrame, tag: str, first_id: int) -> Growth:
+    """Extensions of trajectories and their forks.
 
     ``pairs`` has ``trajectory_id, rk, key, gap``; ``additions`` has ``key`` and the point columns to add. The match
     of rank 1 extends its trajectory; every further one makes a copy of the trajectory as it was, with the match,
-    under a new id numbered from ``first_id`` by (gap, trajectory, rank). Returns the rows and the pairs with their ids.
+    under a new id numbered from ``first_id`` by (gap, trajectory, rank).
     """
-    pairs = written(pairs, "matches").df  # read four times below
-    forks = numbered(pairs.where("rk > 1"), ["gap", "trajectory_id", "rk"], "new_id", first_id)
-    named = pairs.where("rk = 1").withColumn("new_id", F.col("trajectory_id")).unionByName(forks)
-    copies = trajectories.join(forks.select("trajectory_id", "new_id"), "trajectory_id").withColumn("trajectory_id", F.col("new_id")).drop("new_id")
+    matches = written(pairs, "matches", forks=F.count_if(F.col("rk") > 1))
+    pairs, n_forks = matches.df, matches.seen["forks"]
+    named = pairs.where("rk = 1").withColumn("new_id", F.col("trajectory_id"))
+    rows = None
+    if n_forks:
+        forks = numbered(pairs.where("rk > 1"), ["gap", "trajectory_id", "rk"], "new_id", first_id)
+        named = named.unionByName(forks)
+        rows = trajectories.join(forks.select("trajectory_id", "new_id"), "trajectory_id").withColumn("trajectory_id", F.col("new_id")).drop("new_id")
     added = additions.join(named.select("key", F.col("new_id").alias("trajectory_id")), "key").drop("key").withColumn("assoc_tag", F.lit(tag))
-    return trajectories.unionByName(copies, allowMissingColumns=True).unionByName(added, allowMissingColumns=True), named
+    return Growth(added if rows is None else rows.unionByName(added, allowMissingColumns=True), named, matches.seen["rows"], n_forks)
 
 
-def extend_trajectories(trajectories: DataFrame, candidates: DataFrame, additions: DataFrame, key: str, next_nid: int, cfg: LinkConfig, tag: str, first_id: int) -> tuple[DataFrame, DataFrame]:
-    """Trajectories with candidates of one night: all rows afterwards, and the pairs used.
+def grow(trajectories: DataFrame, pairs: DataFrame, additions: DataFrame, tag: str, first_id: int) -> tuple[DataFrame, DataFrame]:
+    """Extended trajectories and their forks, as rows, and the pairs with their ids: :func:`growth` with what was there."""
+    g = growth(trajectories, pairs, additions, tag, first_id)
+    return trajectories.unionByName(g.rows, allowMissingColumns=True), g.used
+
+
+def extension(trajectories: DataFrame, candidates: DataFrame, additions: DataFrame, key: str, next_nid: int, cfg: LinkConfig, tag: str, first_id: int) -> Growth:
+    """Trajectories with candidates of one night.
 
     ``candidates`` are single points with ``key`` (a tracklet's id or a candid); ``additions`` the rows each adds.
     """
@@ -74,7 +96,19 @@ def extend_trajectories(trajectories: DataFrame, candidates: DataFrame, addition
     pairs = within_cone(night_pairs(ends, candidates, cfg.separation_deg, cfg.mag_same, cfg.mag_diff, cfg.trajectory_window, "next_nid"), cfg.max_angle_deg)
     pairs = ranked(newest_night_only(pairs, f"r.{key}", F.col("l.gap")))
     flat = pairs.select(F.col("l.trajectory_id").alias("trajectory_id"), "rk", F.col(f"r.{key}").alias("key"), F.col("l.gap").alias("gap"))
-    return grow(trajectories, flat, additions.withColumn("key", F.col(key)).drop(*([key] if key not in POINT_COLUMNS else [])), tag, first_id)
+    return growth(trajectories, flat, additions.withColumn("key", F.col(key)).drop(*([key] if key not in POINT_COLUMNS else [])), tag, first_id)
+
+
+def tracklet_extension(trajectories: DataFrame, tracklets: DataFrame, next_nid: int, cfg: LinkConfig, first_id: int) -> Growth:
+    """Trajectories with tracklets of one night: the first point of a tracklet is tested, all its points are added."""
+    heads = last_points(tracklets, 1, newest=False).withColumnRenamed("trajectory_id", "track").select("track", *POINT_COLUMNS)
+    return extension(trajectories, heads, tracklets.select(F.col("trajectory_id").alias("track"), *POINT_COLUMNS), "track", next_nid, cfg, "T", first_id)
+
+
+def extend_trajectories(trajectories: DataFrame, candidates: DataFrame, additions: DataFrame, key: str, next_nid: int, cfg: LinkConfig, tag: str, first_id: int) -> tuple[DataFrame, DataFrame]:
+    """:func:`extension` with what was there: all rows afterwards, and the pairs used."""
+    g = extension(trajectories, candidates, additions, key, next_nid, cfg, tag, first_id)
+    return trajectories.unionByName(g.rows, allowMissingColumns=True), g.used
 
 
 def backward_pairs(tracklets: DataFrame, old_alerts: DataFrame, next_nid: int, cfg: LinkConfig) -> DataFrame:
@@ -89,11 +123,11 @@ def backward_pairs(tracklets: DataFrame, old_alerts: DataFrame, next_nid: int, c
     return pairs.withColumn("rk", F.row_number().over(Window.partitionBy("r.trajectory_id").orderBy(differs, F.col("l.jd"), F.col("l.candid"))))
 
 
-def extend_backwards(tracklets: DataFrame, old_alerts: DataFrame, next_nid: int, cfg: LinkConfig, first_id: int) -> tuple[DataFrame, DataFrame]:
-    """Tracklets with old alerts before them, forked like trajectories, and the pairs used."""
+def backward_extension(tracklets: DataFrame, old_alerts: DataFrame, next_nid: int, cfg: LinkConfig, first_id: int) -> Growth:
+    """Tracklets with old alerts before them, forked like trajectories."""
     pairs = backward_pairs(tracklets, old_alerts, next_nid, cfg)
     flat = pairs.select(F.col("r.trajectory_id").alias("trajectory_id"), "rk", F.col("l.candid").alias("key"), F.col("l.gap").alias("gap"))
-    return grow(tracklets, flat, old_alerts.select(*POINT_COLUMNS).withColumn("key", F.col("candid")), "O", first_id)
+    return growth(tracklets, flat, old_alerts.select(*POINT_COLUMNS).withColumn("key", F.col("candid")), "O", first_id)
 
 
 def new_pairs(old_alerts: DataFrame, new_alerts: DataFrame, next_nid: int, cfg: LinkConfig, first_id: int) -> tuple[DataFrame, DataFrame]:

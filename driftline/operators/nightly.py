@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from driftline.operators.link import extend_backwards, extend_trajectories, last_points, new_pairs
+from driftline.operators.link import backward_extension, extension, new_pairs, tracklet_extension
 from driftline.operators.tracklets import tracklets
 from driftline.runtime import written
 from driftline.schema import POINT, POINT_COLUMNS, TRAJECTORY, LinkConfig
@@ -15,12 +16,18 @@ from driftline.schema import POINT, POINT_COLUMNS, TRAJECTORY, LinkConfig
 
 @dataclass(frozen=True)
 class NightState:
-    """What is kept between nights; ``next_id`` only grows, so an id never names two trajectories."""
+    """What is kept between nights: trajectories that may still be extended, and alerts that may still be matched.
+
+    ``next_id`` only grows, so an id never names two trajectories. ``archived`` holds the rows of trajectories that
+    left with the last night, to be appended to an archive by its number: too old to be extended, or small and
+    expired. So a night's work grows with the window, not with history.
+    """
 
     trajectories: DataFrame
     old_alerts: DataFrame
     next_id: int = 0
     last_nid: int | None = None
+    archived: DataFrame | None = None
 
     @classmethod
     def empty(cls, spark: SparkSession) -> NightState:
@@ -71,69 +78,67 @@ def guard_night(last_nid: int | None, night: int) -> None:
         raise ValueError(f"night {night} is not after night {last_nid}, the last one taken in")
 
 
-def _next(df: DataFrame, column: str, now: int) -> int:
-    top = df.agg(F.max(column)).first()[0]
-    return now if top is None else max(now, top + 1)
-
-
 def process_night(state: NightState, alerts: DataFrame, night: int, cfg: LinkConfig) -> NightState:
     """Take in one night: evict, find tracklets, extend trajectories by tracklets and by alerts, tracklets by old
     alerts, and pair what is left. Alerts matched by nothing become old alerts.
 
-    Each of the four associations can be switched off. Tracklets long enough for an orbit are not extended. The
-    result is written to the shared folder, so a replay's plans do not grow from night to night.
+    Each of the four associations can be switched off. Tracklets long enough for an orbit are not extended. What a
+    trajectory had is never changed, so the rows afterwards are those before and what each pass adds; they are
+    written to the shared folder once, and a replay's plans do not grow from night to night.
     """
     guard_night(state.last_nid, night)
-    keep = lambda df, label: written(df, label).df
-    recent, old, _, young = evict(state.trajectories, state.old_alerts, night, cfg)
-    new_alerts = keep(alerts.select(*POINT_COLUMNS).dropDuplicates(["candid"]), "night")
-    found, rest = tracklets(new_alerts, cfg, state.next_id)
-    found, next_id = keep(found, "tracklets"), state.next_id
-    next_id = _next(found, "trajectory_id", next_id)
-    quiet = state.trajectories.isEmpty() and young.isEmpty()
-    small, long = split_by_size(found, cfg.orbit_points)
-    rows, tracks, left_old, left_new = recent, small, young, rest
-    if cfg.tracklets_to_trajectories and not quiet:
-        heads = last_points(small, 1, newest=False).withColumnRenamed("trajectory_id", "track")
-        extra = small.select(F.col("trajectory_id").alias("track"), *POINT_COLUMNS)
-        rows, used = extend_trajectories(recent, heads.select("track", *POINT_COLUMNS), extra, "track", night, cfg, "T", next_id)
-        used = keep(used, "used")
-        next_id = _next(used, "new_id", next_id)
-        rows = keep(rows, "extended")
-        tracks = small.join(used.select(F.col("key").alias("trajectory_id")), "trajectory_id", "left_anti")
-    if cfg.alerts_to_trajectories and not quiet:
-        touched = rows.groupBy("trajectory_id").agg(F.max("nid").alias("last")).where(F.col("last") == night).select("trajectory_id")
-        open_rows = rows.join(touched, "trajectory_id", "left_anti")
-        grown, used = extend_trajectories(open_rows, rest, rest.select(*POINT_COLUMNS), "candid", night, cfg, "A", next_id)
-        used = keep(used, "used")
-        next_id = _next(used, "new_id", next_id)
-        rows = keep(grown.unionByName(rows.join(touched, "trajectory_id", "left_semi"), allowMissingColumns=True), "extended")
-        left_new = rest.join(used.select(F.col("key").alias("candid")), "candid", "left_anti")
-    if cfg.old_alerts_to_tracklets and not quiet:
-        tracks, used = extend_backwards(tracks, young, night, cfg, next_id)
-        used = keep(used, "used")
-        next_id = _next(used, "new_id", next_id)
-        left_old = young.join(used.select(F.col("key").alias("candid")), "candid", "left_anti")
-    pairs = None
-    if cfg.old_alerts_to_alerts and not quiet:
+    recent, old, expired, young = evict(state.trajectories, state.old_alerts, night, cfg)
+    recent = written(recent, "recent").df
+    fresh = written(alerts.select(*POINT_COLUMNS).dropDuplicates(["candid"]), "night").df
+    found = written(tracklets(fresh, cfg, state.next_id)[0], "tracklets", top=F.max("trajectory_id"))
+    next_id = state.next_id if found.seen["top"] is None else found.seen["top"] + 1
+    tracks, long = split_by_size(found.df, cfg.orbit_points)
+    left_old, left_new = young, fresh.join(found.df.select("candid"), "candid", "left_anti")
+    parts, open_rows = [recent, long], recent
+    if cfg.tracklets_to_trajectories:
+        g = tracklet_extension(recent, tracks, night, cfg, next_id)
+        next_id += g.n_forks
+        if g.n_pairs:
+            parts.append(g.rows)
+            tracks = tracks.join(g.used.select(F.col("key").alias("trajectory_id")), "trajectory_id", "left_anti")
+            open_rows = recent.join(g.used.where("rk = 1").select("trajectory_id"), "trajectory_id", "left_anti")
+    if cfg.alerts_to_trajectories:
+        g = extension(open_rows, left_new, left_new, "candid", night, cfg, "A", next_id)
+        next_id += g.n_forks
+        if g.n_pairs:
+            parts.append(g.rows)
+            left_new = left_new.join(g.used.select(F.col("key").alias("candid")), "candid", "left_anti")
+    parts.append(tracks)
+    if cfg.old_alerts_to_tracklets:
+        g = backward_extension(tracks, young, night, cfg, next_id)
+        next_id += g.n_forks
+        if g.n_pairs:
+            parts.append(g.rows)
+            left_old = young.join(g.used.select(F.col("key").alias("candid")), "candid", "left_anti")
+    if cfg.old_alerts_to_alerts:
         pairs, used = new_pairs(left_old, left_new, night, cfg, next_id)
-        used = keep(used, "used")
-        next_id = _next(used, "trajectory_id", next_id)
-        left_old = left_old.join(used.select(F.col("old_candid").alias("candid")), "candid", "left_anti")
-        left_new = left_new.join(used.select(F.col("new_candid").alias("candid")), "candid", "left_anti")
-    parts = [old, rows, tracks, long, *([pairs] if pairs is not None else [])]
-    everything = parts[0].select("trajectory_id", *POINT_COLUMNS, "assoc_tag")
-    for part in parts[1:]:
-        everything = everything.unionByName(part.select("trajectory_id", *POINT_COLUMNS, "assoc_tag"))
-    after = keep(everything.withColumn("not_updated", F.lit(True)), "trajectories")
-    return NightState(after, keep(left_old.select(*POINT_COLUMNS).unionByName(left_new.select(*POINT_COLUMNS)), "old-alerts"), next_id, night)
+        used = written(used, "used")
+        next_id += used.seen["rows"]
+        if used.seen["rows"]:
+            parts.append(pairs)
+            left_old = left_old.join(used.df.select(F.col("old_candid").alias("candid")), "candid", "left_anti")
+            left_new = left_new.join(used.df.select(F.col("new_candid").alias("candid")), "candid", "left_anti")
+    everything = reduce(DataFrame.unionByName, [part.select("trajectory_id", *POINT_COLUMNS, "assoc_tag") for part in parts])
+    after = written(everything.withColumn("not_updated", F.lit(True)), "trajectories").df
+    unmatched = written(left_old.select(*POINT_COLUMNS).unionByName(left_new.select(*POINT_COLUMNS)), "old-alerts").df
+    left = old.unionByName(expired).select("trajectory_id", *POINT_COLUMNS, "assoc_tag")
+    return NightState(after, unmatched, next_id, night, left)
 
 
 def replay(alerts: DataFrame, nights: list[int], cfg: LinkConfig, state: NightState | None = None) -> NightState:
-    """Nights one after another, each committed before the next; nights without alerts change nothing."""
-    state = state or NightState.empty(alerts.sparkSession)
+    """Nights one after another, each committed before the next; nights without alerts change nothing.
+
+    What left on the way is archived in one, in the state returned.
+    """
+    state, left = state or NightState.empty(alerts.sparkSession), []
     for night in sorted(nights):
         batch = alerts.where(F.col("nid") == night)
         if not batch.isEmpty():
             state = process_night(state, batch, night, cfg)
-    return state
+            left.append(state.archived)
+    return replace(state, archived=reduce(DataFrame.unionByName, left)) if left else state

@@ -3,7 +3,6 @@
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-
 from driftline.functions.sky import planar_angle
 from driftline.operators.link import end_points, newest_night_only, ranked, within_cone
 from driftline.operators.pairs import intra_night_pairs, magnitude_pairs, mirror_free, night_pairs
@@ -82,8 +81,6 @@ def cone_forward(spark, sf_dir, limits=SHORT):
 
 def cone_backward(spark, sf_dir):
     """Earlier alerts that lead up to the first two points of a trajectory within a cone; the angle is never per day."""
-
-
     ends = end_points(unique_trajectories(spark, sf_dir), newest=False)
     pairs = night_pairs(unique_alerts(spark, sf_dir), ends, CFG.separation_deg, ACROSS["same"], ACROSS["diff"], ACROSS["window"])
     found = pairs.withColumn("angle", planar_angle("r.p1.ra", "r.p1.dec", "r.ra", "r.dec", "l.ra", "l.dec")).where(F.col("angle") <= 10.0)
@@ -127,10 +124,13 @@ QUERIES = {
 }
 
 _R = "120.0::double / 3600"
-_P = f"""{ALERTS_SQL},
- p as (select l.candid as left_candid, r.candid as right_candid, {sep('l.ra', 'l."dec"', 'r.ra', 'r."dec"')} as sep_deg,
+
+
+def tracklets_sql(alerts: str) -> str:
+    """Pairs ``p`` and ``pm`` of the alerts of a night, and the successors ``s``."""
+    return f"""p as (select l.candid as left_candid, r.candid as right_candid, {sep('l.ra', 'l."dec"', 'r.ra', 'r."dec"')} as sep_deg,
          l.jd as ljd, r.jd as rjd, l.magpsf as lmag, r.magpsf as rmag, l.fid as lfid, r.fid as rfid
-       from a l join a r on l.nid = r.nid and l.candid <> r.candid and abs(l."dec" - r."dec") < 0.034
+       from {alerts} l join {alerts} r on l.nid = r.nid and l.candid <> r.candid and abs(l."dec" - r."dec") < 0.034
        where {sep('l.ra', 'l."dec"', 'r.ra', 'r."dec"')} between 1e-300 and {_R}),
  pm as (select * from p where ljd < rjd and abs(lmag - rmag) <= case when lfid = rfid then 0.2::double else 0.8::double end),
  s1 as (select *, count(*) over (partition by left_candid) > 1 as multi, row_number() over (partition by left_candid order by rjd, right_candid) as rk from pm),
@@ -138,6 +138,11 @@ _P = f"""{ALERTS_SQL},
        from s1 where rk = 1) where f = 1)"""
 
 
+_P = f"{ALERTS_SQL},\n {tracklets_sql('a')}"
+HEADS = """head as (select distinct left_candid as candid from s where left_candid not in (select right_candid from s)),
+ walk(candid, head) as (select candid, candid from head union all select s.right_candid, w.head from walk w join s on s.left_candid = w.candid)"""
+
+
 def _across_sql(window: int) -> str:
     return f"""{ALERTS_SQL},
  n as (select l.candid as left_candid, r.candid as right_candid, g.gap, {sep('l.ra', 'l."dec"', 'r.ra', 'r."dec"')} as sep_deg
@@ -164,9 +169,7 @@ SQL = {
     "mirror_dedupe": f"with {_P} select left_candid, right_candid, round(sep_deg, 6) as sep_deg from p where ljd < rjd or (ljd = rjd and left_candid < right_candid)",
     "intra_pairs_mag": f"with {_P} select left_candid, right_candid, round(sep_deg, 6) as sep_deg from pm",
     "successor_pick": f"with {_P} select left_candid, right_candid, round(sep_deg, 6) as sep_deg from s",
-    "tracklet_paths": f"""with recursive {_P},
- head as (select distinct left_candid as candid from s where left_candid not in (select right_candid from s)),
- walk(candid, head) as (select candid, candid from head union all select s.right_candid, w.head from walk w join s on s.left_candid = w.candid)
+    "tracklet_paths": f"""with recursive {_P}, {HEADS}
 select candid, min(candid) over (partition by head) as tracklet from walk""",
     "dbscan_equiv": f"""with recursive {_P},
  reach(candid, lab) as (select distinct left_candid, left_candid from p union select p.right_candid, r.lab from reach r join p on p.left_candid = r.candid where r.lab < p.right_candid),

@@ -2,36 +2,28 @@
 
 from __future__ import annotations
 
-import json
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from driftline.operators.nightly import NightState
-from driftline.runtime import drop_path
+from driftline.runtime import drop_path, latest, publish, within
 from driftline.schema import POINT, TRAJECTORY
 
+ARCHIVED = f"trajectory_id bigint, {POINT}, assoc_tag string"
+
 
 class StateStore:
-    """State under a path: each save goes to a new folder, then a pointer file names it; readers never see half a state."""
+    """State under a path: each save goes to a new folder, and a record, replaced as a whole, names it; readers never
+    see half a state, and a crash leaves the former one. The version before the last stays for those who read it."""
 
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self.path = spark, path.rstrip("/")
 
-    def _fs(self, path: str):
-        p = self.spark._jvm.org.apache.hadoop.fs.Path(path)
-        return p, p.getFileSystem(self.spark._jsc.hadoopConfiguration())
-
-    def _current(self) -> dict | None:
-        p, fs = self._fs(f"{self.path}/current")
-        if not fs.exists(p):
-            return None
-        return json.loads(self.spark.read.text(f"{self.path}/current", wholetext=True).first()[0])
-
     def load(self) -> NightState:
         """The last state saved; an empty one before the first."""
-        now = self._current()
+        now = latest(self.spark, f"{self.path}/records")
         if not now:
             return NightState.empty(self.spark)
         base = f"{self.path}/{now['version']}"
@@ -43,14 +35,23 @@ class StateStore:
         )
 
     def save(self, state: NightState) -> None:
+        """Save a state; what left with its night goes to the archive under that night, replacing it on a retry."""
+        before = latest(self.spark, f"{self.path}/records") or {}
         version = f"v-{uuid.uuid4().hex}"
         state.trajectories.write.parquet(f"{self.path}/{version}/trajectories")
         state.old_alerts.write.parquet(f"{self.path}/{version}/old_alerts")
-        text = json.dumps({"version": version, "next_id": state.next_id, "last_nid": state.last_nid})
-        p, fs = self._fs(f"{self.path}/current")
-        out = fs.create(p, True)
-        out.write(bytearray(text.encode()))
-        out.close()
+        if state.archived is not None:
+            state.archived.write.mode("overwrite").parquet(f"{self.path}/archive/until_nid={state.last_nid}")
+        publish(self.spark, f"{self.path}/records", {"version": version, "next_id": state.next_id, "last_nid": state.last_nid})
+        for path in within(self.spark, self.path):
+            if path.split("/")[-1].startswith("v-") and path.split("/")[-1] not in (version, before.get("version")):
+                drop_path(self.spark, path)
+
+    def archive(self) -> DataFrame:
+        """Rows of trajectories that left the state, with the night they left at."""
+        if not within(self.spark, f"{self.path}/archive"):
+            return self.spark.createDataFrame([], f"{ARCHIVED}, until_nid int")
+        return self.spark.read.schema(f"{ARCHIVED}, until_nid int").parquet(f"{self.path}/archive")
 
     def reset(self, confirm: bool = False) -> None:
         """Forget everything; nothing happens without ``confirm``."""
@@ -58,8 +59,9 @@ class StateStore:
             drop_path(self.spark, self.path)
 
 
-def append_orbits(orbits: DataFrame, path: str) -> None:
-    orbits.write.mode("append").parquet(path)
+def append_orbits(orbits: DataFrame, path: str, key: str | int) -> None:
+    """Rows of one run under its ``key``; the same run again replaces them instead of doubling them."""
+    orbits.write.mode("overwrite").parquet(f"{path}/run={key}")
 
 
 def archive_night(alerts: DataFrame, path: str) -> None:
