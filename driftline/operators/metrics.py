@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from driftline.functions.sky import lit
+from driftline.operators.ordered import quantiles, with_previous
 
 
 def pair_metrics(real: DataFrame, detected: DataFrame) -> DataFrame:
@@ -29,8 +30,8 @@ def pair_metrics(real: DataFrame, detected: DataFrame) -> DataFrame:
 
 def consecutive_pairs(alerts: DataFrame, label: str) -> DataFrame:
     """Neighbouring alerts in time of each object: the true pairs ``a, b``."""
-    after = F.lead("candid").over(Window.partitionBy(label).orderBy("jd", "candid"))
-    return alerts.where(F.col(label).isNotNull()).select(F.col("candid").alias("a"), after.alias("b")).where(F.col("b").isNotNull())
+    pairs = with_previous(alerts.select(label, "jd", "candid"), label, ["candid"]).where(F.col("previous").isNotNull())
+    return pairs.select(F.col("previous.candid").alias("a"), F.col("candid").alias("b"))
 
 
 def seeding_purity(points: DataFrame, label: str = "ssnamenr", cluster: str = "trajectory_id") -> DataFrame:
@@ -74,12 +75,15 @@ def described(df: DataFrame, columns: list[str]) -> DataFrame:
     n, skew, kurt = F.col("n"), F.col("_skew"), F.col("_kurt")
     rows = stacked.groupBy("column").agg(
         F.count(F.lit(1)).alias("n"), F.avg("x").alias("mean"), F.stddev("x").alias("std"), F.min("x").alias("low"),
-        F.percentile("x", F.lit(0.25)).alias("q1"), F.percentile("x", F.lit(0.5)).alias("median"), F.percentile("x", F.lit(0.75)).alias("q3"),
         F.max("x").alias("high"), F.skewness("x").alias("_skew"), F.kurtosis("x").alias("_kurt"),
     )
+    read = quantiles(stacked, "column", "x", [0.25, 0.5, 0.75])
+    quarters = [F.max(F.when(F.col("q") == q, F.col("quantile"))).alias(name) for q, name in ((0.25, "q1"), (0.5, "median"), (0.75, "q3"))]
+    rows = rows.join(read.groupBy("column").agg(*quarters), "column")  # a row per column
     fair_skew = F.when(n > 2, skew * F.sqrt(n * (n - 1)) / (n - 2))
     fair_kurt = F.when(n > 3, (n - 1) / ((n - 2) * (n - 3)) * ((n + 1) * kurt + 6))
-    return rows.withColumns({"skew": fair_skew, "kurtosis": fair_kurt}).drop("_skew", "_kurt")
+    rows = rows.withColumns({"skew": fair_skew, "kurtosis": fair_kurt})
+    return rows.select("column", "n", "mean", "std", "low", "q1", "median", "q3", "high", "skew", "kurtosis")
 
 
 def orbit_type(a: Column, e: Column) -> Column:
@@ -140,8 +144,8 @@ def residuals(orbits: DataFrame, known: DataFrame, key: str, pairs: dict[str, st
 
 def nights_of(points: DataFrame, label: str) -> DataFrame:
     """Gaps between successive observations of each object: ``label, jd, candid, nid, gap``, null at the first one."""
-    order = Window.partitionBy(label).orderBy("jd", "candid")
-    return points.select(label, "jd", "candid", "nid", (F.col("nid") - F.lag("nid").over(order)).alias("gap"))
+    rows = with_previous(points.select(label, "jd", "candid", "nid"), label, ["nid"])
+    return rows.select(label, "jd", "candid", "nid", (F.col("nid") - F.col("previous.nid")).alias("gap"))
 
 
 def detectable(points: DataFrame, label: str, least: int, window: int, strict: bool = False) -> DataFrame:

@@ -1,12 +1,12 @@
 """Queries over whole trajectories: windows, statistics, eviction, motion."""
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from driftline.operators import metrics, study
 from driftline.operators.graph import numbered
 from driftline.operators.link import last_points
 from driftline.operators.nightly import evict, split_by_size
+from driftline.operators.ordered import with_group_count
 from driftline.plans.sql import ALERTS_SQL, TRAJECTORIES_SQL, angle, sep
 from driftline.runtime import table
 from driftline.schema import LinkConfig, unique_alerts, unique_trajectories
@@ -162,8 +162,7 @@ def night_class_counts(spark, sf_dir):
 
 def whole_count(spark, sf_dir):
     """Each alert with the number of alerts of its object."""
-    n = F.count(F.lit(1)).over(Window.partitionBy("ssnamenr"))
-    return unique_alerts(spark, sf_dir, "ssnamenr").where("ssnamenr is not null").select("candid", n.alias("n_object"))
+    return with_group_count(unique_alerts(spark, sf_dir, "ssnamenr").select("candid", "ssnamenr"), "ssnamenr", "n_object").select("candid", "n_object")
 
 
 def _truth(spark, sf_dir):
