@@ -33,7 +33,7 @@ def _number(text: Column) -> Column:
 def _designation(text: Column) -> Column:
     """``1993-nb014``, ``1993_NB_14``, ``1993 NB14`` as ``d:1993NB14``; the letter O among digits is a zero."""
     t = F.upper(F.regexp_replace(text, r"[\s_\-]", ""))
-    order = F.regexp_replace(F.translate(F.substring(t, 7, 100), "O", "0"), "^0+", "")
+    order = F.regexp_replace(F.translate(F.substr(t, F.lit(7)), "O", "0"), "^0+", "")
     return F.concat(F.lit("d:"), F.translate(F.substring(t, 1, 4), "O", "0"), F.substring(t, 5, 2), order)
 
 
