@@ -34,11 +34,13 @@ def matched(predicted: DataFrame, alerts: DataFrame, radius_arcsec: float, coars
     return best.select("b.trajectory_id", *[F.col(f"b.r.{c}").alias(c) for c in POINT_COLUMNS])
 
 
-def follow_up(points: DataFrame, orbits: DataFrame, alerts: DataFrame, step: int = 15, radius_arcsec: float = 5.0, solver: Solver = two_body_fit, max_steps: int = 24) -> tuple[DataFrame, DataFrame]:
+def follow_up(points: DataFrame, orbits: DataFrame, alerts: DataFrame, step: int = 15, radius_arcsec: float = 5.0, solver: Solver = two_body_fit) -> tuple[DataFrame, DataFrame]:
     """Points and orbits of trajectories extended by all alerts their orbits predict; new points have the tag ``E``.
 
-    All trajectories take a step of ``step`` nights at once, forwards until none finds more, then backwards. After
-    each step those with new points are fitted again; where that fails, the new points are given back.
+    All trajectories take a step of ``step`` nights at once, forwards until none finds more, then backwards, in as many
+    steps as that takes: only trajectories that found something go on, and each of their steps takes alerts that are
+    then no longer free, so it ends. After each step those with new points are fitted again; where that fails, the
+    new points are given back.
     """
     now = written(points.select("trajectory_id", *POINT_COLUMNS).withColumn("assoc_tag", F.lit(None).cast("string")), "follow").df
     fitted = written(orbits.where((F.col("a") != FAILED) & F.col("a").isNotNull()), "orbits").df
@@ -46,7 +48,7 @@ def follow_up(points: DataFrame, orbits: DataFrame, alerts: DataFrame, step: int
     for forward in (True, False):
         edge = now.groupBy("trajectory_id").agg((F.max("nid") + 1 if forward else F.min("nid") - 1).alias("edge"))
         active = written(edge, "edges").df
-        for _ in range(max_steps):
+        while True:
             low, high = (F.col("edge"), F.col("edge") + step - 1) if forward else (F.col("edge") - step + 1, F.col("edge"))
             spans = fitted.join(active, "trajectory_id").withColumns({"from_nid": low.cast("int"), "to_nid": high.cast("int")})
             free = alerts.join(now.select("candid"), "candid", "left_anti")

@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from driftline.functions.sky import EARTH, OBLIQUITY_DEG
+from driftline.operators.graph import numbered
 from driftline.operators.pairs import nearest_elements
 from driftline.schema import ELEMENTS, ORBIT
 
@@ -200,7 +201,7 @@ def merge_candidates(orbits: DataFrame, neighbours: int = 3) -> DataFrame:
 
 def merge_orbits(orbits: DataFrame, points: DataFrame, neighbours: int = 3, solver: Solver = two_body_fit, max_chi: float = 10.0) -> DataFrame:
     """Joint orbits of pairs of arcs: both trajectories and the merged elements, where a joint fit succeeds within ``max_chi``."""
-    pairs = merge_candidates(orbits, neighbours).withColumn("pair", F.xxhash64("first", "second"))
+    pairs = numbered(merge_candidates(orbits, neighbours), ["first", "second"], "pair")
     sides = pairs.select("pair", F.col("first").alias("trajectory_id")).unionByName(pairs.select("pair", F.col("second").alias("trajectory_id")))
     arcs = sides.join(points, "trajectory_id").drop("trajectory_id").withColumnRenamed("pair", "trajectory_id").dropDuplicates(["trajectory_id", "candid"])
     joint = fit_orbits(arcs, 4, solver).withColumnRenamed("trajectory_id", "pair")

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from driftline.functions.sky import lit, planar_angle, position_angle, separation
+from driftline.operators.metrics import reduced_chi
 
 
 def _order(label: str) -> Window:
@@ -83,6 +84,22 @@ def motion_fit(points: DataFrame, label: str) -> DataFrame:
     return sums.where("n >= 3 and sxx > 0").select(label, "n", "slope", F.greatest(lit(0), F.col("syy") - F.col("sxy") * F.col("sxy") / F.col("sxx")).alias("residual"))
 
 
+def motion_changes(points: DataFrame, label: str) -> DataFrame:
+    """Mean speed of each object (degrees per day over all its steps that take time) and mean change of speed per day."""
+    w = _order(label)
+    rows = steps(points, label).where("days > 0").withColumn("speed", F.col("sep_deg") / F.col("days"))
+    rows = rows.withColumn("change", (F.col("speed") - F.lag("speed").over(w)) / F.nullif(F.col("jd") - F.lag("jd").over(w), lit(0)))
+    return rows.groupBy(label).agg(F.count(F.lit(1)).alias("n_steps"), F.avg("speed").alias("mean_speed"), F.avg("change").alias("mean_acceleration"))
+
+
+def quantile_of_cdf(cdf: DataFrame, width: float, of: list[float]) -> DataFrame:
+    """Values at which the cumulative shares of a :func:`histogram` reach given shares, interpolated in their bin: ``q, value``."""
+    whole = Window.partitionBy(F.lit(0)).orderBy("bin")  # as many rows as bins
+    rows = cdf.withColumn("below", F.coalesce(F.lag("cdf").over(whole), lit(0)))
+    rows = rows.withColumn("q", F.explode(F.array(*[lit(q) for q in of]))).where((F.col("below") < F.col("q")) & (F.col("q") <= F.col("cdf")))
+    return rows.select("q", (F.col("low") + lit(width) * (F.col("q") - F.col("below")) / (F.col("cdf") - F.col("below"))).alias("value"))
+
+
 def histogram(values: DataFrame, value: str, low: float, high: float, bins: int) -> DataFrame:
     """Counts and cumulative shares over equal bins of [low, high]; values outside are in the first or last bin."""
     v = F.col(value)
@@ -108,3 +125,17 @@ def scaled(points: DataFrame, label: str, value: str) -> DataFrame:
     w = Window.partitionBy(label)
     low, high = F.min(value).over(w), F.max(value).over(w)
     return points.withColumn("scaled", (F.col(value) - low) / F.nullif(high - low, lit(0)))
+
+
+def robustly_scaled(points: DataFrame, label: str, value: str) -> DataFrame:
+    """Values of each object less its median, by its range between quartiles; null where that is 0."""
+    q1, median, q3 = (F.percentile(value, lit(q)) for q in (0.25, 0.5, 0.75))
+    per = points.groupBy(label).agg(median.alias("_median"), (q3 - q1).alias("_range"))
+    return points.join(per, label).withColumn("scaled", (F.col(value) - F.col("_median")) / F.nullif(F.col("_range"), lit(0))).drop("_median", "_range")
+
+
+def chi_of_constant(points: DataFrame, label: str, value: str, sigma: str) -> DataFrame:
+    """Mean of the distances of an object's values from their mean, in units of their errors: null where an error is missing."""
+    chi = F.transform("_v", lambda v: F.when(v["s"] > 0, F.abs(v["x"] - F.col("_mean")) / v["s"]).otherwise(lit(-1)))
+    per = points.groupBy(label).agg(F.avg(value).alias("_mean"), F.collect_list(F.struct(F.col(value).alias("x"), F.col(sigma).alias("s"))).alias("_v"))
+    return per.select(label, reduced_chi(chi).alias("chi"))

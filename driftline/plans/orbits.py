@@ -7,7 +7,7 @@ from driftline.functions.sky import galactic, lit, separation, with_ephemeris
 from driftline.operators import metrics
 from driftline.operators.graph import numbered
 from driftline.operators.pairs import nearest_elements, sky_join
-from driftline.plans.sql import ALERTS_SQL, TRAJECTORIES_SQL
+from driftline.plans.sql import ALERTS_SQL, TRAJECTORIES_SQL, ephemeris, sep
 from driftline.runtime import table
 from driftline.schema import ELEMENTS, unique_alerts, unique_trajectories
 from driftline.sources.catalogue import aliases, bare_number
@@ -131,10 +131,11 @@ def ephemeris_alerts(spark, sf_dir):
     """
     alerts = unique_alerts(spark, sf_dir)
     first = F.floor(F.col("ref_epoch") - lit(2457754.5)).cast("int")
-    nights = _good(spark, sf_dir).where("e < 1").crossJoin(alerts.select("nid").distinct()).repartition("nid")
+    known = sorted(r.nid for r in alerts.select("nid").distinct().collect())  # nights, not rows
+    nights = _good(spark, sf_dir).where("e < 1").withColumn("nid", F.explode(F.array(*[F.lit(n) for n in known]).cast("array<int>")))
     nights = nights.withColumn("jd", F.col("ref_epoch") + (F.col("nid") - first))
     predicted = with_ephemeris(nights, ELEMENTS, "ref_epoch", "jd").select("trajectory_id", "nid", "ra", "dec")
-    found = sky_join(predicted, alerts, 1.0, [("nid", "nid")], 1.0, height_deg=2.0)
+    found = sky_join(predicted, alerts, 1.0, [("nid", "nid")], 1.0)
     return found.groupBy(F.col("r.candid").alias("candid")).agg(F.min_by("l.trajectory_id", F.struct("sep_deg", "l.trajectory_id")).alias("trajectory_id"))
 
 
@@ -203,3 +204,40 @@ select case when named = 0 then 'unknown' when k = 1 and named = n then 'pure' e
  g as (select candid, degrees(atan2({_GAL['y']}, {_GAL['x']})) as lon, degrees(asin(greatest(-1, least(1, {_GAL['z']})))) as lat from c)
 select candid, round(case when lon < 0 then lon + 360 else lon end, 5) as lon, round(lat, 5) as lat from g""",
 }
+
+_OFFSETS = "(select unnest([7, 30, 120, 360]) as \"offset\")"
+SQL["ephemeris_table"] = f"""with {ephemeris('o', f'select *, ref_epoch + "offset" as jd from ({_GOOD}) join {_OFFSETS} on true where e < 1', ELEMENTS, 'ref_epoch')}
+select trajectory_id, "offset", round(o_ra, 4) as ra, round(o_dec, 4) as dec, round(o_distance, 4) as distance from o"""
+SQL["ephemeris_alerts"] = f"""with {ALERTS_SQL}, nights as (select distinct nid from a),
+ {ephemeris('o', f'select g.*, n.nid, ref_epoch + (n.nid - cast(floor(ref_epoch - 2457754.5::double) as int)) as jd from ({_GOOD}) g join nights n on true where e < 1', ELEMENTS, 'ref_epoch')},
+ near as (select a.candid, o.trajectory_id, {sep('o.o_ra', 'o.o_dec', 'a.ra', 'a."dec"')} as far from a join o on o.nid = a.nid and abs(o.o_dec - a."dec") <= 1.000001)
+select candid, arg_min(trajectory_id, (far, trajectory_id)) as trajectory_id from near where far <= 1 group by candid"""
+SQL["ephemeris_deviation"] = f"""with {_NAMED},
+ both_ as (select o.*, k.a as ka, k.e as ke, k.i as ki, k.node, k.peri, k.m, k.epoch as k_epoch, f."offset", o.ref_epoch + f."offset" as jd from ({_GOOD}) o join named n using (trajectory_id)
+   join (select *, regexp_extract(number, '(\\d+)', 1) as ssnamenr from mpcorb_extended where number is not null and a is not null and e < 1) k on k.ssnamenr = n.ssnamenr
+   join {_OFFSETS} f on true where o.e < 1),
+ {ephemeris('o', 'select * from both_', ELEMENTS, 'ref_epoch')},
+ {ephemeris('q', 'select * from o', ['ka', 'ke', 'ki', 'node', 'peri', 'm'], 'k_epoch')}
+select trajectory_id, "offset", round({sep('o_ra', 'o_dec', 'q_ra', 'q_dec')}, 4) as sep_deg from q"""
+
+
+def _split(x: str) -> str:
+    """Hundredths of seconds as ``dd mm ss.ss``."""
+    return f"printf('%02d %02d %02d.%02d', {x} // 360000, {x} // 6000 % 60, {x} // 100 % 60, {x} % 100)"
+
+
+SQL["mpc_lines"] = f"""with {TRAJECTORIES_SQL},
+ p as (select *, row_number() over w - 1 as place, first_value(jd) over w as first_jd from t window w as (partition by trajectory_id order by jd, candid)),
+ d as (select *, date '1970-01-01' + cast(floor(first_jd - 2440587.5::double) as int) as day, trajectory_id % 15500 as n,
+   make_timestamp(cast(round((jd - 2440587.5::double) * 86400000000::double) as bigint)) as utc,
+   cast(round(ra / 15 * 360000) as bigint) % (24 * 360000) as h, cast(round(abs("dec") * 360000) as bigint) as g from p),
+ q as (select *, substr('IJKL', cast(year(day) // 100 - 18 + 1 as int), 1) || printf('%02d', year(day) % 100)
+     || substr('ABCDEFGHJKLMNOPQRSTUVWXY', cast((month(day) - 1) * 2 + case when day(day) > 15 then 1 else 0 end + 1 as int), 1)
+     || substr('0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz', cast(n // 25 // 10 + 1 as int), 1) || (n // 25 % 10)
+     || substr('ABCDEFGHJKLMNOPQRSTUVWXYZ', cast(n % 25 + 1 as int), 1) as designation from d)
+select trajectory_id, designation, cast(place as int) as place,
+  rpad('     ' || rpad(designation, 7, ' ') || case when place = 0 then '*' else ' ' end || ' C'
+    || rpad(strftime(utc, '%Y %m %d') || '.' || lpad(cast(hour(utc) * 3600 + minute(utc) * 60 + hour(utc) as varchar), 5, '0'), 17, ' ')
+    || {_split('h')} || ' ' || case when "dec" < 0 then '-' else '+' end || {_split('g')}
+    || '        ' || lpad(cast(cast(round(cast(cast(magpsf as varchar) as decimal(18, 8)), 1) as decimal(9, 1)) as varchar), 5, ' ') || ' ' || case fid when 1 then 'g' else 'r' end, 77, ' ') || 'I41' as line
+from q"""

@@ -81,10 +81,10 @@ def finite(*columns: str):
 
 
 def unique_alerts(spark, sf_dir: str, *more: str) -> DataFrame:
-    """One row per alert (the delivery received first) with a position, time, magnitude and filter, ra in [0, 360)."""
+    """One row per alert (the delivery received first; without a time, last) with a position, time, magnitude and filter, ra in [0, 360)."""
     names = list(dict.fromkeys([*POINT_COLUMNS, *more]))
     raw = table(spark, sf_dir, "alerts", *names, "received_at", "delivery_id")
-    rank = F.row_number().over(Window.partitionBy("candid").orderBy("received_at", "delivery_id"))
+    rank = F.row_number().over(Window.partitionBy("candid").orderBy(F.col("received_at").asc_nulls_last(), F.col("delivery_id").asc_nulls_last()))
     kept = raw.withColumn("rank", rank).where("rank = 1").drop("rank", "received_at", "delivery_id")
     sane = finite("ra", "dec", "jd", "magpsf") & F.col("nid").isNotNull() & F.col("fid").isNotNull()
     return kept.where(sane).withColumn("ra", normal_ra("ra")).select(*names)
@@ -98,7 +98,7 @@ def finite_sql(*columns: str) -> str:
 #: The same view for DuckDB, as a common table expression ``a``.
 ALERTS_SQL = f"""a as (
   select * replace (case when ra < 0 then ra + 360 else ra end as ra) from (
-    select *, row_number() over (partition by candid order by received_at nulls first, delivery_id nulls first) as rank from alerts)
+    select *, row_number() over (partition by candid order by received_at nulls last, delivery_id nulls last) as rank from alerts)
   where rank = 1 and {finite_sql('ra', '"dec"', 'jd', 'magpsf')} and nid is not null and fid is not null)"""
 
 

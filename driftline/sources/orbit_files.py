@@ -4,11 +4,13 @@ from __future__ import annotations
 
 import re
 from dataclasses import dataclass
+from functools import reduce
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from driftline.functions.naming import MJD_OFFSET, jd_to_date, mpc_line, packed_designation
+from driftline.schema import ELEMENTS
 
 FAILED = -1.0
 
@@ -25,10 +27,47 @@ def observation_lines(points: DataFrame, mpc_compat: bool = True) -> DataFrame:
     return rows.withColumn("designation", name).withColumn("line", line).select("trajectory_id", "designation", "place", "line")
 
 
-def write_observation_files(points: DataFrame, path: str) -> None:
-    """One folder of text per trajectory, written by the tasks."""
-    lines = observation_lines(points).select("trajectory_id", "place", "line")
-    lines.repartition("trajectory_id").sortWithinPartitions("trajectory_id", "place").select("trajectory_id", "line").write.partitionBy("trajectory_id").text(path)
+def write_observation_files(points: DataFrame, path: str, buckets: int = 64) -> None:
+    """Lines of all trajectories as text in ``buckets`` folders by hash of the trajectory, written by the tasks.
+
+    A trajectory's lines follow each other in one file and begin with the line that has the asterisk, so a folder of
+    files does not grow with the trajectories.
+    """
+    lines = observation_lines(points).withColumn("bucket", F.pmod(F.xxhash64("trajectory_id"), F.lit(buckets)).cast("int"))
+    lines = lines.repartition("bucket").sortWithinPartitions("bucket", "trajectory_id", "place")
+    lines.select("bucket", "line").write.partitionBy("bucket").text(path)
+
+
+def read_solver_files(spark: SparkSession, path: str, glob: str = "*") -> DataFrame:
+    """Whole text files of solver runs: ``name, text``; the name is that of the file, without its ending."""
+    files = spark.read.text(path, wholetext=True, pathGlobFilter=glob, recursiveFileLookup=True)
+    name = F.regexp_extract(F.col("_metadata.file_name"), r"^(.*?)(?:\.[^.]*)?$", 1)
+    return files.select(name.alias("name"), F.col("value").alias("text"))
+
+
+def _fortran(text: Column) -> Column:
+    """A Fortran number, with ``D`` or no letter before the exponent; null for what is none."""
+    plain = F.regexp_replace(F.trim(text), "[Dd]", "E")
+    return F.when(plain.rlike("[Ee]"), plain).otherwise(F.regexp_replace(plain, r"(?<=[\d.])([+-]\d+)$", "E$1")).try_cast("double")
+
+
+def read_elements(spark: SparkSession, path: str, glob: str = "*") -> DataFrame:
+    """Element files as rows: ``name, ref_epoch``, six elements and their errors; all -1 where a file has none."""
+    words = lambda start: F.split(F.trim(F.regexp_extract("text", rf"(?m)^\s*{start}\s+(.*)$", 1)), r"\s+")
+    files = read_solver_files(spark, path, glob).withColumns({"_k": words("KEP"), "_t": words("MJD"), "_r": words(r"!\s*RMS")})
+    parts = {"ref_epoch": _fortran(F.get("_t", F.lit(0))) + MJD_OFFSET}
+    parts |= {c: _fortran(F.get("_k", F.lit(n))) for n, c in enumerate(ELEMENTS)} | {f"rms_{c}": _fortran(F.get("_r", F.lit(n))) for n, c in enumerate(ELEMENTS)}
+    files = files.withColumns(parts)
+    whole = reduce(lambda a, b: a & b, [F.col(c).isNotNull() for c in parts])
+    return files.select("name", *[F.when(whole, F.col(c)).otherwise(F.lit(FAILED)).alias(c) for c in parts])
+
+
+def read_residuals(spark: SparkSession, path: str, glob: str = "*") -> DataFrame:
+    """Residual files as rows: ``name, place, chi``, the third word from the end of each line after the head of seven; -1 where it is no number."""
+    lines = F.slice(F.split(F.regexp_replace("text", r"\n$", ""), "\n"), 8, 1_000_000_000)
+    rows = read_solver_files(spark, path, glob).select("name", F.posexplode(lines).alias("place", "line"))
+    words = F.split(F.trim("line"), r"\s+")
+    return rows.select("name", "place", F.coalesce(_fortran(F.try_element_at(words, F.lit(-3))), F.lit(FAILED)).alias("chi"))
 
 
 @dataclass(frozen=True)

@@ -1,11 +1,14 @@
 """Metrics on small cases with known figures."""
 
+import random
+
 import duckdb
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from driftline.functions.sky import with_ephemeris
-from driftline.operators import metrics, study
+from driftline.operators import metrics, ordered, study
 from driftline.plans.nights import orbit_merge
 from driftline.plans.orbits import ephemeris_alerts
 
@@ -22,7 +25,9 @@ def nights(spark, lists):
 
 
 def test_run_length_cases(spark):
-    gaps = {1: [5, 2], 2: [5, 2, 1], 3: [5, 2, 12, 2, 3, 12, 15, 10, 24, 1, 2, 4], 4: [9, 3, 9, 3, 9], 5: [1]}
+    # Window 8: 1 has a run of two short gaps, 2 one of three, 3 one of four after a long gap; in 4 each short gap stands
+    # alone between long ones and counts as none; in 5 a long gap cuts four short ones into runs of two.
+    gaps = {1: [3, 4], 2: [8, 1, 6], 3: [2, 30, 7, 7, 1, 1], 4: [20, 2, 11, 8, 40], 5: [1, 1, 9, 1, 1], 6: [2]}
     lists = {}
     for k, g in gaps.items():
         lists[k] = [0]
@@ -45,10 +50,12 @@ def test_detectable(spark):
 
 
 def test_association_statistics(spark):
-    tags = {0: "IIATTA", 1: "NNTTTA", 2: "OIIITT"}
-    rows = [(k, n, float(n), t) for k, word in tags.items() for n, t in enumerate(word)]
+    # A tracklet alone; one that grew by an alert; a pair that grew by a tracklet of two; a tracklet with an old alert,
+    # which is short and not in the means; the same grown by three alerts, which is. Means: A (1 + 0 + 3) / 3, T (0 + 2 + 0) / 3.
+    tags = {0: ["I", "I", "I"], 1: ["I", "I", "A"], 2: ["N", "N", "T", "T"], 3: ["O", "I", "I"], 4: ["O", "I", "I", "A", "A", "A"]}
+    rows = [(k, n, float(n), t) for k, of in tags.items() for n, t in enumerate(of)]
     got = metrics.association_statistics(spark.createDataFrame(rows, "trajectory_id int, candid int, jd double, assoc_tag string")).first()
-    assert tuple(got)[:4] == (0, 1, 1, 1) and got.mean_alerts_added == 1.0 and got.mean_tracklet_alerts_added == pytest.approx(7 / 3)
+    assert tuple(got)[:4] == (1, 1, 1, 2) and got.mean_alerts_added == pytest.approx(4 / 3) and got.mean_tracklet_alerts_added == pytest.approx(2 / 3)
 
 
 def test_described_is_bias_corrected(spark):
@@ -58,6 +65,25 @@ def test_described_is_bias_corrected(spark):
     assert got.n == 5 and got.median == 3.0 and got.skew == pytest.approx(skew) and got.kurtosis == pytest.approx(kurtosis)
 
 
+def test_neighbours_counts_and_quantiles_of_a_hot_key(spark):
+    rng = random.Random(3)
+    rows = [(rng.choice(["hot", "hot", "hot", "b", None]), c, 2459000 + rng.choice([0.0, 0.5, 1.25, 3.0, 9.5]), rng.choice([None, float("nan"), 1.5, 2.0, 7.25])) for c in range(300)]
+    df = spark.createDataFrame(rows, "k string, candid int, jd double, x double")
+    want = {}
+    for k in ("hot", "b"):
+        own = sorted((r[2], r[1]) for r in rows if r[0] == k)
+        want |= {c: (own[n - 1][1] if n else None) for n, (_, c) in enumerate(own)}
+    got = {r.candid: r.previous and r.previous.candid for r in ordered.with_previous(df, "k", ["candid"]).collect()}
+    assert got == want
+    for share in (0.001, 0.4):
+        counts = {(r.candid, r.n) for r in ordered.with_group_count(df, "k", "n", share).collect()}
+        assert counts == {(r[1], sum(x[0] == r[0] for x in rows)) for r in rows if r[0] is not None}
+    quantiles = {(r.k, r.q): r.quantile for r in ordered.quantiles(df.where("k is not null"), "k", "x", [0.0, 0.25, 0.37, 0.5, 1.0]).collect()}
+    for (k, q), value in quantiles.items():
+        assert value == pytest.approx(np.quantile([r[3] for r in rows if r[0] == k and r[3] is not None and r[3] == r[3]], q))
+    assert len(quantiles) == 10 and ordered.quantiles(df.limit(0), "k", "x", [0.5]).count() == 0
+
+
 def test_pair_metrics_without_pairs(spark):
     none = spark.createDataFrame([], "a int, b int")
     some = spark.createDataFrame([(1, 2), (1, 2), (3, 4)], "a int, b int")

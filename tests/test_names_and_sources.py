@@ -28,8 +28,9 @@ def one(spark, *columns):
 
 
 def test_tags_and_dates(spark):
-    row = one(spark, naming.base26(F.lit(652)), naming.object_tag(F.lit(652), lit(2460135.98)), naming.jd_to_date(lit(2460135.98)), naming.base26(F.lit(26**7 - 1)))
-    assert row.c0 == "aaaaazc" and row.c1 == "FF20230710aaaaazc" and row.c2 == dt.date(2023, 7, 10) and row.c3 == "zzzzzzz"
+    n = 3 * 26**2 + 0 * 26 + 7  # digits 3, 0, 7: letters d, a, h
+    row = one(spark, naming.base26(F.lit(n)), naming.object_tag(F.lit(n), lit(2451545.25)), naming.jd_to_date(lit(2451544.49)), naming.base26(F.lit(26**7 - 1)))
+    assert row.c0 == "aaaadah" and row.c1 == "FF20000101aaaadah" and row.c2 == dt.date(1999, 12, 31) and row.c3 == "zzzzzzz"
 
 
 def test_designations_do_not_collide(spark):
@@ -102,7 +103,7 @@ def test_follow_up_finds_the_alerts_of_an_orbit(spark):
     ahead, behind = rows(EPOCH + np.array([20.0, 27.02]), 100), rows(EPOCH - np.array([9.0, 9.03]), 200)
     stray = [(300, ahead[0][1], ahead[0][2] + 0.5, *ahead[0][3:]), (301, ahead[0][1] + 90, ahead[0][2], *ahead[0][3:])]
     alerts = spark.createDataFrame(rows(JD, 0) + ahead + behind + stray, POINT)
-    found, orbits = follow_up(points, fit_orbits(points), alerts, step=15, radius_arcsec=20.0, max_steps=2)
+    found, orbits = follow_up(points, fit_orbits(points), alerts, step=15, radius_arcsec=20.0)
     assert sorted(r.candid for r in found.collect()) == [*range(8), 100, 101, 200, 201]
     assert sorted(r.candid for r in found.where("assoc_tag = 'E'").collect()) == [100, 101, 200, 201]
     assert orbits.first().a == pytest.approx(2.7, rel=1e-3)
@@ -141,8 +142,24 @@ def test_solver_texts():
 def test_observation_files(spark, tmp_path):
     rows = [(t, 10 * t + k, 10.0, 5.0, 2459000.5 + k, 1, 1, 18.0, "I", True) for t in (1, 2) for k in range(3)]
     orbit_files.write_observation_files(spark.createDataFrame(rows, TRAJECTORY), f"{tmp_path}/obs")
-    lines = spark.read.text(f"{tmp_path}/obs/trajectory_id=2").collect()
-    assert len(lines) == 3 and all(len(r.value) == 80 for r in lines) and lines[0].value[12] == "*" and lines[1].value[12] == " "
+    lines = [r.value for r in spark.read.text(f"{tmp_path}/obs", recursiveFileLookup=True).collect()]
+    assert len(lines) == 6 and all(len(x) == 80 for x in lines) and sum(x[12] == "*" for x in lines) == 2
+    orbit_files.write_observation_files(spark.createDataFrame(rows, TRAJECTORY), f"{tmp_path}/one", buckets=1)
+    lines = [r.value for r in spark.read.text(f"{tmp_path}/one/bucket=0").collect()]
+    assert [x[12] for x in lines] == ["*", " ", " "] * 2 and len({x[5:12] for x in lines[:3]}) == 1
+
+
+def test_solver_files_are_read_as_rows(spark, tmp_path):
+    good = "! Elements\n KEP   1.29E+00 0.2376D0   3.0 139.1 316.7 42.5\n MJD     59274.5 TDT\n! RMS    2.6-155   2.1E-05   0.0E+00   1.5E-03   4.0E-09   0.0E+00\n"
+    (tmp_path / "K21A00B.oel").write_text(good)
+    (tmp_path / "K21A00C.oel").write_text("nothing here\n")
+    (tmp_path / "K21A00D.oel").write_text(good.replace("316.7", "oops"))
+    got = {r.name: r for r in orbit_files.read_elements(spark, str(tmp_path), "*.oel").collect()}
+    assert list(got["K21A00B"])[1:] == orbit_files.parse_elements(good)
+    assert list(got["K21A00C"])[1:] == list(got["K21A00D"])[1:] == [-1.0] * 13
+    (tmp_path / "K21A00B.rwo").write_text("x\n" * 7 + " a b 1.58 1 0\n a b oops 1 0\n")
+    rows = orbit_files.read_residuals(spark, str(tmp_path), "*.rwo").collect()
+    assert [(r.name, r.place, r.chi) for r in rows] == [("K21A00B", 0, 1.58), ("K21A00B", 1, -1.0)]
 
 
 def test_text_source(spark, tmp_path):

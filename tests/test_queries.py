@@ -10,7 +10,6 @@ import __spark_entry__ as entry
 from verify import rows_of
 
 DATA = "/root/testdata/sf0.001"
-SLOW = {"orbit_fit", "orbit_merge", "p9_rates"}
 QUERIES, SQL = entry.queries(), entry.oracle_sql()
 
 
@@ -23,7 +22,7 @@ def duck():
 
 
 @pytest.mark.skipif(not os.path.isdir(DATA), reason="the test tables are not here")
-@pytest.mark.parametrize("name", [n for n in QUERIES if n not in SLOW])
+@pytest.mark.parametrize("name", list(QUERIES))
 def test_query(spark, duck, name):
     df = QUERIES[name](spark, DATA)
     rows = df.collect()
