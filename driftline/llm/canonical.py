@@ -11,8 +11,10 @@ UNMATCHED = "UNMATCHED"
 #: Letters with marks, and the plain letters they are read as.
 MARKED = "áàâäãåéèêëíìîïóòôöõúùûüñçýÿ"
 PLAIN = "aaaaaaeeeeiiiiooooouuuuncyy"
-#: Digits of packed designations.
-PACKED = "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz"
+#: Signs that are read as spaces.
+SPACES = "   \t\r\n"
+#: Digits of the cycles of packed designations.
+CYCLES = "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz"
 
 NUMBER = r"[\dO]+(?:,[\dO]{3})*"
 #: Longer words may hold two slips, shorter ones one, very short ones none.
@@ -22,7 +24,7 @@ LONG = 24
 
 
 def _clean(value: Column) -> Column:
-    return F.trim(F.regexp_replace(F.translate(value, "   \t\r\n", "      "), " +", " "))
+    return F.trim(F.regexp_replace(F.translate(value, SPACES, " " * len(SPACES)), " +", " "))
 
 
 def _number(text: Column) -> Column:
@@ -40,7 +42,7 @@ def _designation(text: Column) -> Column:
 def _packed(text: Column) -> Column:
     """``K01Wa8U`` as ``d:2001WU368``: century letter, year, half-month, cycle in base 62 and 10, second letter."""
     century = F.lit(18) + F.instr(F.lit("IJK"), F.substring(text, 1, 1)) - 1
-    cycle = (F.instr(F.lit(PACKED), F.substring(text, 5, 1)) - 1) * 10 + F.substring(text, 6, 1).cast("int")
+    cycle = (F.instr(F.lit(CYCLES), F.substring(text, 5, 1)) - 1) * 10 + F.substring(text, 6, 1).cast("int")
     count = F.when(cycle > 0, cycle.cast("string")).otherwise(F.lit(""))
     return F.concat(F.lit("d:"), century.cast("string"), F.substring(text, 2, 2), F.substring(text, 4, 1), F.substring(text, 7, 1), count)
 

@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from driftline.llm.bpe import encode
-from driftline.llm.canonical import UNMATCHED, canonical, canonical_by_part
+from driftline.llm.canonical import CYCLES, SPACES, UNMATCHED, canonical, canonical_by_part, readings
 from driftline.llm.components import components, star_edges
 from driftline.llm.mixing import mixture
 from driftline.llm.percentiles import combine, keep, kept, percentiles, summarise
@@ -38,6 +38,14 @@ def p4_found(spark, sf_dir):
     return canonical_by_part(alerts, "ssnamenr", "obs_month", table(spark, sf_dir, "mpcorb_extended"), *CATALOGUE)
 
 
+def p4_exact(spark, sf_dir):
+    """Of the values that are a number or a designation and nothing else, the entry each denotes: never a look-alike."""
+    values = table(spark, sf_dir, "alerts", "ssnamenr").where("ssnamenr is not null").distinct()
+    plain = values.where(F.element_at(readings(F.col("ssnamenr")), 1)[0].rlike("^[nd]:") & (F.size(F.element_at(readings(F.col("ssnamenr")), 1)) == 1))
+    found = canonical(plain, "ssnamenr", table(spark, sf_dir, "mpcorb_extended"), *CATALOGUE)
+    return found.select(F.col("value").alias("ssnamenr"), F.col("entry").alias("principal_desig"))
+
+
 def p4_unmatched(spark, sf_dir):
     """Values without an entry, with the alerts that have them."""
     alerts = table(spark, sf_dir, "alerts", "ssnamenr").where(F.col("ssnamenr").isNotNull())
@@ -74,6 +82,7 @@ QUERIES = {
     "p1_percentiles": p1_percentiles,
     "p1_merged": p1_merged,
     "p4_found": p4_found,
+    "p4_exact": p4_exact,
     "p4_unmatched": p4_unmatched,
     "p6_found": p6_found,
     "p7_ids": p7_ids,
@@ -94,6 +103,14 @@ from r join q on upto - n < greatest(1, (permille * n_values + 999) // 1000) and
 """
 
 
+_NUMBER = "ltrim(regexp_replace(replace(regexp_replace({0}, '\\.0+$', ''), 'O', '0'), '[^0-9]', '', 'g'), '0')"
+
+
+def _designated(x: str) -> str:
+    t = f"upper(regexp_replace({x}, '[\\s_\\-]', '', 'g'))"
+    return f"replace(substr({t}, 1, 4), 'O', '0') || substr({t}, 5, 2) || ltrim(replace(substr({t}, 7), 'O', '0'), '0')"
+
+
 _BINNED = "case when abs(magpsf * 10000.0::double) < 1099511627776 then round(magpsf * 10000.0::double) / 10000.0::double else magpsf end as bin from alerts where magpsf is not null and not isnan(magpsf)"
 
 SQL = {
@@ -101,6 +118,17 @@ SQL = {
         f"select 'night' as scope, nid, fid, {_BINNED} union all select 'all', cast(null as int), fid, {_BINNED}", "scope, nid, fid", "range(10, 1000, 10)"
     ),
     "p1_merged": _percentile_sql(f"select cast(nid // 30 as int) as period, fid, {_BINNED} and nid is not null", "period, fid", "[250, 500, 750]"),
+    "p4_exact": f"""
+with v as (select distinct ssnamenr, trim(regexp_replace(translate(ssnamenr, '{SPACES}', '{' ' * len(SPACES)}'), ' +', ' ', 'g')) as v from alerts where ssnamenr is not null),
+ k as (select ssnamenr, v, case
+    when regexp_matches(v, '^(?:[Nn]o\\.? ?|#)?\\(?[\\dO]+(?:,[\\dO]{{3}})*\\)?(?:\\.0+)?$') then nullif('n:' || {_NUMBER.format('v')}, 'n:')
+    when regexp_matches(v, '^[12][\\dO]{{3}}[\\s_\\-]*[A-Za-z]{{2}}[\\s_\\-]*[\\dO]*$') then 'd:' || {_designated('v')}
+    when regexp_matches(v, '^[IJK]\\d\\d[A-Z][0-9A-Za-z]\\d[A-Z]$') then 'd:' || (17 + instr('IJK', substr(v, 1, 1))) || substr(v, 2, 3) || substr(v, 7, 1)
+      || coalesce(nullif(cast((instr('{CYCLES}', substr(v, 5, 1)) - 1) * 10 + cast(substr(v, 6, 1) as int) as varchar), '0'), '') end as token from v),
+ c as (select principal_desig, 'n:' || {_NUMBER.format('number')} as token from mpcorb_extended where number is not null
+   union select principal_desig, 'd:' || {_designated('d')} from (select principal_desig, unnest(list_append(coalesce(other_desigs, []), principal_desig)) as d from mpcorb_extended) where d is not null)
+select k.ssnamenr, coalesce(min(c.principal_desig), 'UNMATCHED') as principal_desig from k left join c using (token) where token is not null group by 1
+""",
     "p6_found": """
 with recursive links as (
   select distinct u, v from (
