@@ -47,7 +47,15 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def new_path(spark: SparkSession, label: str) -> str:
-    return f"{shared_dir(spark).rstrip('/')}/{label}-{uuid.uuid4().hex}"
+    """A path for a table of this application, in a folder that is deleted when the application ends."""
+    folder = f"{shared_dir(spark).rstrip('/')}/driftline-{spark.sparkContext.applicationId}"
+    context = spark.sparkContext
+    if getattr(context, "_driftline_folder", None) != folder:
+        path, files = _files(spark, folder)
+        files.mkdirs(path)
+        files.deleteOnExit(path)
+        context._driftline_folder = folder
+    return f"{folder}/{label}-{uuid.uuid4().hex}"
 
 
 def drop_path(spark: SparkSession, path: str) -> None:
