@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from driftline.functions.sky import angle_over_time, planar_angle
 from driftline.operators.graph import numbered
 from driftline.operators.pairs import night_pairs, point
-from driftline.runtime import written
+from driftline.runtime import Written, written
 from driftline.schema import POINT_COLUMNS, LinkConfig
 
 
@@ -99,35 +99,47 @@ def extension(trajectories: DataFrame, candidates: DataFrame, additions: DataFra
     return growth(trajectories, flat, additions.withColumn("key", F.col(key)).drop(*([key] if key not in POINT_COLUMNS else [])), tag, first_id)
 
 
-def tracklet_extension(trajectories: DataFrame, tracklets: DataFrame, next_nid: int, cfg: LinkConfig, first_id: int) -> Growth:
-    """Trajectories with tracklets of one night: the first point of a tracklet is tested, all its points are added."""
-    heads = last_points(tracklets, 1, newest=False).withColumnRenamed("trajectory_id", "track").select("track", *POINT_COLUMNS)
-    return extension(trajectories, heads, tracklets.select(F.col("trajectory_id").alias("track"), *POINT_COLUMNS), "track", next_nid, cfg, "T", first_id)
-
-
 def extend_trajectories(trajectories: DataFrame, candidates: DataFrame, additions: DataFrame, key: str, next_nid: int, cfg: LinkConfig, tag: str, first_id: int) -> tuple[DataFrame, DataFrame]:
     """:func:`extension` with what was there: all rows afterwards, and the pairs used."""
     g = extension(trajectories, candidates, additions, key, next_nid, cfg, tag, first_id)
     return trajectories.unionByName(g.rows, allowMissingColumns=True), g.used
 
 
-def backward_pairs(tracklets: DataFrame, old_alerts: DataFrame, next_nid: int, cfg: LinkConfig) -> DataFrame:
-    """Old alerts that lead up to tracklets of the night: sides ``l`` (old alert) and ``r`` (tracklet), ranked."""
-    ends = end_points(tracklets, newest=False)
-    old = old_alerts.select(*POINT_COLUMNS).withColumn("next_nid", F.lit(next_nid))
-    pairs = night_pairs(old, ends, cfg.separation_deg, cfg.mag_same, cfg.mag_diff, cfg.observation_window, "next_nid")
-    angle = planar_angle("r.p1.ra", "r.p1.dec", "r.ra", "r.dec", "l.ra", "l.dec")  # time runs backwards: never per day
-    pairs = pairs.withColumn("angle", angle).where(F.col("angle") <= cfg.max_angle_deg)
-    pairs = newest_night_only(pairs, "r.trajectory_id", F.col("l.gap"))
-    differs = (F.col("l.fid") != F.col("r.fid")).cast("int")
-    return pairs.withColumn("rk", F.row_number().over(Window.partitionBy("r.trajectory_id").orderBy(differs, F.col("l.jd"), F.col("l.candid"))))
+def night_links(trajectories: DataFrame, old_alerts: DataFrame, tracklets: DataFrame, new_alerts: DataFrame, night: int, cfg: LinkConfig) -> Written:
+    """All pairs of a night's step that its limits allow, found by one range join of the state with the night.
+
+    The state's sides (``l_kind``) are ends of trajectories (``t``) and old alerts (``o``), the night's (``r_kind``) are
+    first points of tracklets (``k``) and lone alerts (``a``). Continuations of trajectories turn by the angle allowed at
+    their inner point, per day beyond one; old alerts before tracklets by the same angle seen backwards, never per day;
+    pairs of alerts have no angle. ``l_id`` and ``r_id`` are ids of trajectories and tracklets, else candids.
+    """
+    nothing = F.lit(None).cast(f"struct<{', '.join(f'{c}: double' for c in ('ra', 'dec'))}>").alias("p1")
+    inner = F.struct(F.col("p1.ra").alias("ra"), F.col("p1.dec").alias("dec")).alias("p1")
+
+    def side(kind: str, ends: DataFrame, lone: DataFrame, other: str) -> DataFrame:
+        moving = ends.select(F.lit(kind).alias("kind"), F.col("trajectory_id").alias("id"), *POINT_COLUMNS, inner)
+        return moving.unionByName(lone.select(F.lit(other).alias("kind"), F.col("candid").alias("id"), *POINT_COLUMNS, nothing))
+
+    left = side("t", end_points(trajectories), old_alerts, "o").withColumn("next_nid", F.lit(night))
+    right = side("k", end_points(tracklets, newest=False), new_alerts, "a")
+    pairs = night_pairs(left, right, cfg.separation_deg, cfg.mag_same, cfg.mag_diff, cfg.trajectory_window, "next_nid")
+    ahead = angle_over_time(planar_angle("l.p1.ra", "l.p1.dec", "l.ra", "l.dec", "r.ra", "r.dec"), F.col("r.jd") - F.col("l.jd"))
+    back = planar_angle("r.p1.ra", "r.p1.dec", "r.ra", "r.dec", "l.ra", "l.dec")
+    turns = F.when(F.col("l.kind") == "t", ahead <= cfg.max_angle_deg).when(F.col("r.kind") == "k", back <= cfg.max_angle_deg).otherwise(True)
+    differs = (F.col("l.fid") != F.col("r.fid")).cast("int").alias("differs")
+    flat = [F.col(f"{x}.{c}").alias(f"{x}_{c}") for x in "lr" for c in ("kind", "id", "jd", "candid")]
+    return written(pairs.where(turns).select(*flat, F.col("l.gap").alias("gap"), differs), "links")
 
 
-def backward_extension(tracklets: DataFrame, old_alerts: DataFrame, next_nid: int, cfg: LinkConfig, first_id: int) -> Growth:
-    """Tracklets with old alerts before them, forked like trajectories."""
-    pairs = backward_pairs(tracklets, old_alerts, next_nid, cfg)
-    flat = pairs.select(F.col("r.trajectory_id").alias("trajectory_id"), "rk", F.col("l.candid").alias("key"), F.col("l.gap").alias("gap"))
-    return growth(tracklets, flat, old_alerts.select(*POINT_COLUMNS).withColumn("key", F.col("candid")), "O", first_id)
+def matches(links: DataFrame, kinds: str, owner: str, other: str) -> DataFrame:
+    """Links of two kinds as matches of trajectories: ``trajectory_id, rk, key, gap``.
+
+    Of each right side only the newest night counts. ``owner`` is the side that is extended (l or r), ``other`` the
+    side that is added; matches are ranked by equal filters first, then time and candid.
+    """
+    pairs = newest_night_only(links.where((F.col("l_kind") == kinds[0]) & (F.col("r_kind") == kinds[1])), "r_id", F.col("gap"))
+    rank = F.row_number().over(Window.partitionBy(f"{owner}_id").orderBy("differs", f"{other}_jd", f"{other}_candid"))
+    return pairs.select(F.col(f"{owner}_id").alias("trajectory_id"), rank.alias("rk"), F.col(f"{other}_id").alias("key"), "gap")
 
 
 def new_pairs(old_alerts: DataFrame, new_alerts: DataFrame, next_nid: int, cfg: LinkConfig, first_id: int) -> tuple[DataFrame, DataFrame]:

@@ -8,7 +8,8 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from driftline.operators.link import backward_extension, extension, new_pairs, tracklet_extension
+from driftline.operators.graph import numbered
+from driftline.operators.link import growth, matches, newest_night_only, night_links
 from driftline.operators.tracklets import tracklets
 from driftline.runtime import written
 from driftline.schema import POINT, POINT_COLUMNS, TRAJECTORY, LinkConfig
@@ -82,8 +83,8 @@ def process_night(state: NightState, alerts: DataFrame, night: int, cfg: LinkCon
     """Take in one night: evict, find tracklets, extend trajectories by tracklets and by alerts, tracklets by old
     alerts, and pair what is left. Alerts matched by nothing become old alerts.
 
-    Each of the four associations can be switched off. Tracklets long enough for an orbit are not extended. What a
-    trajectory had is never changed, so the rows afterwards are those before and what each pass adds; they are
+    Each of the four associations can be switched off. Tracklets long enough for an orbit are not extended. All
+    associations choose from the pairs of one range join of the state with the night. What a trajectory had is never changed, so the rows afterwards are those before and what each pass adds; they are
     written to the shared folder once, and a replay's plans do not grow from night to night.
     """
     guard_night(state.last_nid, night)
@@ -94,35 +95,42 @@ def process_night(state: NightState, alerts: DataFrame, night: int, cfg: LinkCon
     next_id = state.next_id if found.seen["top"] is None else found.seen["top"] + 1
     tracks, long = split_by_size(found.df, cfg.orbit_points)
     left_old, left_new = young, fresh.join(found.df.select("candid"), "candid", "left_anti")
-    parts, open_rows = [recent, long], recent
-    if cfg.tracklets_to_trajectories:
-        g = tracklet_extension(recent, tracks, night, cfg, next_id)
+    parts, links = [recent, long], night_links(recent, young, tracks, left_new, night, cfg)
+    pairs, used_tracks, extended = links.df, None, None
+    if cfg.tracklets_to_trajectories and links.seen["rows"]:
+        additions = tracks.select(F.col("trajectory_id").alias("key"), *POINT_COLUMNS)
+        g = growth(recent, matches(pairs, "tk", "l", "r"), additions, "T", next_id)
         next_id += g.n_forks
         if g.n_pairs:
             parts.append(g.rows)
-            tracks = tracks.join(g.used.select(F.col("key").alias("trajectory_id")), "trajectory_id", "left_anti")
-            open_rows = recent.join(g.used.where("rk = 1").select("trajectory_id"), "trajectory_id", "left_anti")
-    if cfg.alerts_to_trajectories:
-        g = extension(open_rows, left_new, left_new, "candid", night, cfg, "A", next_id)
+            used_tracks, extended = g.used.select(F.col("key").alias("r_id")), g.used.where("rk = 1").select(F.col("trajectory_id").alias("l_id"))
+            tracks = tracks.join(used_tracks.withColumnRenamed("r_id", "trajectory_id"), "trajectory_id", "left_anti")
+    if cfg.alerts_to_trajectories and links.seen["rows"]:
+        still = pairs if extended is None else pairs.join(extended, "l_id", "left_anti")
+        g = growth(recent, matches(still, "ta", "l", "r"), fresh.withColumn("key", F.col("candid")), "A", next_id)
         next_id += g.n_forks
         if g.n_pairs:
             parts.append(g.rows)
             left_new = left_new.join(g.used.select(F.col("key").alias("candid")), "candid", "left_anti")
+            pairs = pairs.join(g.used.select(F.lit("a").alias("r_kind"), F.col("key").alias("r_id")), ["r_kind", "r_id"], "left_anti")
     parts.append(tracks)
-    if cfg.old_alerts_to_tracklets:
-        g = backward_extension(tracks, young, night, cfg, next_id)
+    if cfg.old_alerts_to_tracklets and links.seen["rows"]:
+        still = pairs if used_tracks is None else pairs.join(used_tracks, "r_id", "left_anti")
+        g = growth(tracks, matches(still, "ok", "r", "l"), young.withColumn("key", F.col("candid")), "O", next_id)
         next_id += g.n_forks
         if g.n_pairs:
             parts.append(g.rows)
             left_old = young.join(g.used.select(F.col("key").alias("candid")), "candid", "left_anti")
-    if cfg.old_alerts_to_alerts:
-        pairs, used = new_pairs(left_old, left_new, night, cfg, next_id)
-        used = written(used, "used")
-        next_id += used.seen["rows"]
-        if used.seen["rows"]:
-            parts.append(pairs)
-            left_old = left_old.join(used.df.select(F.col("old_candid").alias("candid")), "candid", "left_anti")
-            left_new = left_new.join(used.df.select(F.col("new_candid").alias("candid")), "candid", "left_anti")
+            pairs = pairs.join(g.used.select(F.lit("o").alias("l_kind"), F.col("key").alias("l_id")), ["l_kind", "l_id"], "left_anti")
+    if cfg.old_alerts_to_alerts and links.seen["rows"]:
+        free = newest_night_only(pairs.where("l_kind = 'o' and r_kind = 'a'"), "r_id", F.col("gap"))
+        made = written(numbered(free.select("gap", F.col("l_id").alias("old"), F.col("r_id").alias("new")), ["gap", "old", "new"], "trajectory_id", next_id), "pairs")
+        next_id += made.seen["rows"]
+        if made.seen["rows"]:
+            for side, points in (("old", young), ("new", fresh)):
+                parts.append(made.df.select("trajectory_id", F.col(side).alias("candid")).join(points, "candid").withColumn("assoc_tag", F.lit("N")))
+            left_old = left_old.join(made.df.select(F.col("old").alias("candid")), "candid", "left_anti")
+            left_new = left_new.join(made.df.select(F.col("new").alias("candid")), "candid", "left_anti")
     everything = reduce(DataFrame.unionByName, [part.select("trajectory_id", *POINT_COLUMNS, "assoc_tag") for part in parts])
     after = written(everything.withColumn("not_updated", F.lit(True)), "trajectories").df
     unmatched = written(left_old.select(*POINT_COLUMNS).unionByName(left_new.select(*POINT_COLUMNS)), "old-alerts").df
