@@ -19,10 +19,15 @@ from driftline.sources.catalogue import bare_number, read_catalogue
 from driftline.sources.state import StateStore, append_orbits, append_statistics, archive_night
 
 
+#: Classes that the broker gives to alerts of moving objects.
+OBJECTS = {"mpc": "Solar System MPC", "candidates": "Solar System candidate"}
+
+
 def parser() -> argparse.ArgumentParser:
     p = argparse.ArgumentParser(prog="driftline", description="Link single-night detections into moving objects.")
     p.add_argument("--output", required=True, help="folder of the state and the results")
     p.add_argument("--config", help="INI file with a section [link]")
+    p.add_argument("--objects", choices=[*OBJECTS], help="known objects or candidates only, each with state and results of their own")
     sub = p.add_subparsers(dest="command", required=True)
     one = sub.add_parser("associations", help="take in one night")
     one.add_argument("--alerts", help="landing folder of parquet")
@@ -39,6 +44,7 @@ def parser() -> argparse.ArgumentParser:
     sub.add_parser("merge_orbit", help="merge arcs of like orbits")
     stats = sub.add_parser("stats", help="report")
     stats.add_argument("--catalogue", help="published JSON of known objects")
+    stats.add_argument("--names", help="parquet of alerts (candid, ssnamenr): recovery of known objects by class")
     return p
 
 
@@ -67,7 +73,16 @@ def solve(spark: SparkSession, store: StateStore, cfg: LinkConfig, output: str)
     return spark.read.schema(ORBIT).parquet(f"{output}/orbits")
 
 
-def report(spark: SparkSession, store: StateStore, output: str, catalogue: str | None) -> dict[str, DataFrame]:
+def recovered(known: DataFrame, names: DataFrame, points: DataFrame) -> DataFrame:
+    """Known objects of each class, and how many have a trajectory with an orbit whose alerts are all theirs."""
+    own = points.join(names.select("candid", "ssnamenr"), "candid").groupBy("trajectory_id").agg(F.count_distinct("ssnamenr").alias("k"), F.min("ssnamenr").alias("number"))
+    found = own.where("k = 1").select("number").distinct().withColumn("found", F.lit(1))
+    objects = known.select(bare_number("number").alias("number"), "orbit_type").where("number <> ''").distinct()
+    per = objects.join(found, "number", "left").groupBy("orbit_type").agg(F.count(F.lit(1)).alias("n_known"), F.count("found").alias("n_found"))
+    return per.withColumn("percent", F.round(F.col("n_found") * 100 / F.col("n_known"), 2))
+
+
+def report(spark: SparkSession, store: StateStore, output: str, catalogue: str | None, names: str | None = None) -> dict[str, DataFrame]:
     state = store.load()
     sizes = state.trajectories.groupBy("trajectory_id").agg(F.count(F.lit(1)).alias("size"))
     out = {"sizes": sizes.groupBy("size").agg(F.count(F.lit(1)).alias("n")).orderBy("size"), "associations": metrics.association_statistics(state.trajectories)}
@@ -81,6 +96,8 @@ def report(spark: SparkSession, store: StateStore, output: str, catalogue: str |
     if catalogue:
         known = read_catalogue(spark, catalogue)
         out["known types"] = known.where(bare_number("number") != "").groupBy("orbit_type").agg(F.count(F.lit(1)).alias("n"))
+        if names:
+            out["recovered"] = recovered(known, spark.read.parquet(names), spark.read.parquet(f"{output}/orbit_points"))
     return out
 
 
@@ -88,6 +105,9 @@ def main(args: list[str] | None = None, spark: SparkSession | None = None) -> No
     a = parser().parse_args(args)
     spark = spark or SparkSession.getActiveSession() or local_session()
     cfg = LinkConfig.from_file(a.config) if a.config else LinkConfig()
+    if a.objects:
+        a.output = f"{a.output}/{a.objects}"
+    scan = {"only": OBJECTS.get(a.objects)}
     store = StateStore(spark, f"{a.output}/state")
     if a.command == "associations":
         if a.reset and (a.yes or _confirmed("Forget all trajectories and old alerts?")):
@@ -96,7 +116,7 @@ def main(args: list[str] | None = None, spark: SparkSession | None = None) -> No
             alerts = text_alerts(spark, a.filepath)
             night = 0
         else:
-            night, alerts = a.night, night_scan(spark, a.alerts, a.night)
+            night, alerts = a.night, night_scan(spark, a.alerts, a.night, **scan)
         if a.save:
             archive_night(alerts, f"{a.output}/archive")
         take_in(store, alerts, night, cfg, a.output)
@@ -109,14 +129,14 @@ def main(args: list[str] | None = None, spark: SparkSession | None = None) -> No
             wanted = wanted & (F.col("nid") > last)
         nights = [r.nid for r in spark.read.parquet(a.alerts).where(wanted).select("nid").distinct().orderBy("nid").collect()]  # nights, not rows
         for night in nights:
-            take_in(store, night_scan(spark, a.alerts, night), night, cfg, a.output)
+            take_in(store, night_scan(spark, a.alerts, night, **scan), night, cfg, a.output)
     elif a.command == "solve_orbit":
         solve(spark, store, cfg, a.output).groupBy((F.col("a") != -1).alias("fitted")).count().show()
     elif a.command == "merge_orbit":
         orbits, points = spark.read.schema(ORBIT).parquet(f"{a.output}/orbits"), spark.read.parquet(f"{a.output}/orbit_points")
         merge_orbits(orbits, points).write.mode("overwrite").parquet(f"{a.output}/merged_orbits")
     else:
-        for name, df in report(spark, store, a.output, a.catalogue).items():
+        for name, df in report(spark, store, a.output, a.catalogue, a.names).items():
             print(name)
             df.show(50, truncate=False)
 

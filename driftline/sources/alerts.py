@@ -18,12 +18,13 @@ from driftline.schema import ALERT, coerced
 TEXT_COLUMNS = ["ra", "dec", "jd", "magpsf", "sigmapsf"]
 
 
-def night_scan(spark: SparkSession, path: str, night: int, renames: dict[str, str] | None = None) -> DataFrame:
-    """Alerts of one night of a landing folder of parquet, with the columns every alert has.
+def night_scan(spark: SparkSession, path: str, night: int, renames: dict[str, str] | None = None, only: str | None = None) -> DataFrame:
+    """Alerts of one night of a landing folder of parquet, with the columns every alert has; of one ``fink_class`` only if named.
 
-    The night is filtered in the scan; ``not_updated`` is true and ``last_assoc_date`` is the night's date.
+    Night and class are filtered in the scan; ``not_updated`` is true and ``last_assoc_date`` is the night's date.
     """
     raw = spark.read.parquet(path).where(F.col("nid") == night)
+    raw = raw.where(F.col("fink_class") == only) if only else raw
     for old, new in (renames or {}).items():
         raw = raw.withColumnRenamed(old, new)
     return with_defaults(raw)

@@ -178,6 +178,32 @@ def test_nights_come_once_and_in_order():
         guard_night(5, 5)
 
 
+def test_what_expires_is_archived_and_leaves_the_state(spark):
+    rows = trajectory(1, 1, 0.0, 0.1, 5) + trajectory(2, 9, 50.0, 0.1, 2) + trajectory(3, 19, 90.0, 0.1, 3)
+    state = NightState(spark.createDataFrame(rows, TRAJECTORY), spark.createDataFrame([], POINT), 4, 19)
+    after = process_night(state, spark.createDataFrame([], POINT), 20, LinkConfig())
+    assert {r.trajectory_id for r in after.trajectories.collect()} == {3}
+    assert sorted({(r.trajectory_id) for r in after.archived.collect()}) == [1, 2]
+
+
+@pytest.mark.parametrize("off", ["tracklets_to_trajectories", "alerts_to_trajectories", "old_alerts_to_tracklets", "old_alerts_to_alerts"])
+def test_each_association_can_be_switched_off(spark, off):
+    """Four tracks at once: a trajectory met by a tracklet, one met by an alert, an old alert met by a tracklet, and one by an alert."""
+    state_rows = trajectory(1, 9, 10.0, 0.002, 2) + trajectory(2, 9, 40.0, 0.002, 2)
+    old = [(5001, 70.0, 10.0, 2459009.02, 9, 1, 18.0), (5002, 100.0, 10.0, 2459009.02, 9, 1, 18.0)]
+    new = [(1, 10.1, 10.0, 2459010.0, 10, 1, 18.0), (2, 10.101, 10.0, 2459010.02, 10, 1, 18.0), (3, 40.1, 10.0, 2459010.0, 10, 1, 18.0)]
+    new += [(4, 70.1, 10.0, 2459010.0, 10, 1, 18.0), (5, 70.102, 10.0, 2459010.02, 10, 1, 18.0), (6, 100.1, 10.0, 2459010.0, 10, 1, 18.0)]
+    state = NightState(spark.createDataFrame(state_rows, TRAJECTORY), spark.createDataFrame(old, POINT), 3, 9)
+    found = {}
+    for cfg in (LinkConfig(), LinkConfig(**{off: False})):
+        after = process_night(state, spark.createDataFrame(new, POINT), 10, cfg)
+        found[cfg] = {(r.trajectory_id, r.candid, r.assoc_tag) for r in after.trajectories.where("nid = 10 or assoc_tag in ('O', 'N')").collect()}
+    whole, less = found.values()
+    assert {t for _, _, t in whole} == {"T", "A", "O", "I", "N"} and len(whole) == 8
+    gone = {"tracklets_to_trajectories": "T", "alerts_to_trajectories": "A", "old_alerts_to_tracklets": "O", "old_alerts_to_alerts": "N"}[off]
+    assert gone not in {t for _, _, t in less} and {t for _, _, t in whole} - {gone} <= {t for _, _, t in less}
+
+
 def test_empty_state_and_night(spark):
     state = process_night(NightState.empty(spark), spark.createDataFrame([], POINT), 1, LinkConfig())
     assert state.trajectories.count() == 0 and state.old_alerts.count() == 0

@@ -2,6 +2,7 @@
 
 import datetime as dt
 import json
+import os
 import threading
 from http.server import BaseHTTPRequestHandler, HTTPServer
 
@@ -15,11 +16,12 @@ from driftline.functions.sky import difference_magnitude, ecliptic_to_galactic,
 from driftline.operators.follow_up import follow_up
 from driftline.operators.nightly import NightState
 from driftline.operators.orbit_fit import FAILED, OBLIQUITY_DEG, command_solver, earth, elements_position, fit_orbits, two_body_fit
+from driftline.runtime import within
 from driftline.schema import ALERT, POINT, TRAJECTORY, LinkConfig, coerced
 from driftline.sources import alerts as source
 from driftline.sources import orbit_files
 from driftline.sources.catalogue import aliases, read_catalogue
-from driftline.sources.state import StateStore, append_statistics, archive_night, statistics, write_archive
+from driftline.sources.state import ARCHIVED, StateStore, append_orbits, append_statistics, archive_night, statistics, write_archive
 from driftline.streaming.nightly import arrivals, closed_days, run_complete, start_nightly, table_stream
 
 
@@ -229,6 +231,34 @@ def test_state_survives(spark, tmp_path):
     assert store.load().next_id == 0
 
 
+def test_state_versions_and_archive(spark, tmp_path):
+    store, archived = StateStore(spark, f"{tmp_path}/state"), f"{ARCHIVED}"
+    for n in (1, 2, 2, 3):  # night 2 comes again, as after a crash
+        left = spark.createDataFrame([(n, 10 * n, 1.0, 1.0, 1.0, 1, 1, 1.0, "I")], archived)
+        empty = NightState.empty(spark)
+        store.save(NightState(empty.trajectories, empty.old_alerts, n, n, left))
+    assert store.load().last_nid == 3
+    assert sorted((r.trajectory_id, r.until_nid) for r in store.archive().collect()) == [(1, 1), (2, 2), (3, 3)]
+    assert sum("/v-" in p for p in within(spark, store.path)) == 2 and len(within(spark, f"{store.path}/records")) == 2
+    os.remove(f"{within(spark, f'{store.path}/records')[-1].removeprefix('file:')}/_SUCCESS")  # the last record was not completed
+    assert store.load().last_nid == 2
+
+
+def test_orbit_rows_of_a_run_replace_those_of_its_retry(spark, tmp_path):
+    for _ in range(2):
+        append_orbits(spark.range(3), f"{tmp_path}/orbits", "7-9")
+    append_orbits(spark.range(2), f"{tmp_path}/orbits", "8-12")
+    assert spark.read.parquet(f"{tmp_path}/orbits").count() == 5
+
+
+def test_recovery_by_class(spark):
+    known = spark.createDataFrame([("(1)", "MBA"), ("(2)", "MBA"), ("(3)", "Amor"), (None, "Amor")], "number string, orbit_type string")
+    names = spark.createDataFrame([(1, "1"), (2, "1"), (3, "2"), (4, "3"), (5, None)], "candid long, ssnamenr string")
+    points = spark.createDataFrame([(1, 1), (1, 2), (2, 3), (2, 4), (3, 5)], "trajectory_id long, candid long")
+    got = {r.orbit_type: (r.n_known, r.n_found, r.percent) for r in cli.recovered(known, names, points).collect()}
+    assert got == {"MBA": (2, 1, 50.0), "Amor": (1, 0, 0.0)}
+
+
 def test_archive_and_statistics(spark, tmp_path):
     alerts = spark.createDataFrame([(1, 1.0, 1.0, 1.0, 5, 1, 1.0), (2, 1.0, 1.0, 1.0, 6, 1, 1.0)], POINT)
     for _ in range(2):
@@ -264,6 +294,11 @@ def test_command_line(spark, tmp_path, capsys):
     assert "associations" in capsys.readouterr().out
     assert StateStore(spark, f"{tmp_path}/out/state").load().trajectories.count() == 0
     cli.main([*base, "associations", "--alerts", f"{tmp_path}/alerts", "--night", "2", "-r", "-y"], spark)
+    two = spark.read.parquet(f"{tmp_path}/alerts").withColumn("fink_class", F.when(F.col("candid") % 2 == 0, "Solar System MPC").otherwise("Solar System candidate"))
+    two.write.parquet(f"{tmp_path}/classes")
+    for objects in ("mpc", "candidates"):
+        cli.main([*base, "--objects", objects, "associations", "--alerts", f"{tmp_path}/classes", "--night", "1"], spark)
+        assert [r.candid % 2 for r in StateStore(spark, f"{tmp_path}/out/{objects}/state").load().old_alerts.collect()] == [int(objects == "candidates")]
 
 
 def test_config_file(tmp_path):
