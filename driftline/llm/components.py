@@ -81,7 +81,7 @@ def _relabel(edges: Written, roots: DataFrame, least: int) -> DataFrame:
 def components(edges: DataFrame, hub_least: int = 200_000) -> DataFrame:
     """The group of each item that is linked to another: ``item, group_id``, the smallest item of the group.
 
-    ``edges`` has two columns, the ends of a link in any order. Each round, all components hook onto their smallest
+    ``edges`` has two columns of integers, the ends of a link in any order. Each round, all components hook onto their smallest
     neighbour, the trees collapse by pointer doubling, and edges are relabelled and made unique, until none remain;
     every round at least halves the components that still have edges, so chains of any length take logarithmic
     rounds. All tables of a round are written to the shared folder; nothing is collected but sketches of the
