@@ -33,6 +33,7 @@ SIGNS = str.maketrans("013457@$€ßàáâäãåçèéêëìíîïñòóôöõù
 LINE_END = re.compile(r"[-=¬­]\s*\n\s*")
 HIDDEN_SIGNS = re.compile("[\u200b\u200c\u200d\u2060\ufeff\u00ad\u00ac|]")
 SPACED = re.compile(r"(?<!\S)\w\s\w\s\w\s(?:\w\s)*\w(?!\w)")
+LONG_WORD = re.compile(rf"\S{{{LETTERS + 1},}}")
 RUNS = re.compile(r"(\w)\1{2,}")
 INNER = re.compile(r"[^\w*]+|_+")
 MASKS = re.compile(r"\*+")
@@ -47,14 +48,15 @@ def tokens(text: str | None) -> list[str]:
     if not text:
         return []
     text = HIDDEN_SIGNS.sub("", LINE_END.sub("", text))
-    words = SPACED.sub(lambda m: "".join(m[0].split()), text).split()
-    return list(chain.from_iterable(map(_pieces, words))) if any(len(w) > LETTERS for w in words) else words
+    text = SPACED.sub(lambda m: "".join(m[0].split()), text)
+    return LONG_WORD.sub(_pieces, text).split()
 
 
-def _pieces(word: str) -> list[str]:
-    if len(word) <= LETTERS or len(plain := normal(word)) <= LETTERS:
-        return [word]
-    return [plain[at : at + LETTERS] for at in range(0, len(plain) - LETTERS // 2, LETTERS // 2)]
+def _pieces(found: re.Match) -> str:
+    plain = normal(found[0])
+    if len(plain) <= LETTERS:
+        return found[0]
+    return " ".join([plain[at : at + LETTERS] for at in range(0, len(plain) - LETTERS // 2, LETTERS // 2)])
 
 
 def normal(word: str) -> str:
