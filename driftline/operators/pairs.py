@@ -39,7 +39,7 @@ def sky_join(left: DataFrame, right: DataFrame, radius_deg: Column | float, keys
     halving from one to the next, and a left row uses those that fit its radius, while the right side goes to one
     cell of each size. Cells are four radii high (two of the largest radius served), so candidates stay within a
     constant factor of the pairs found, however dense the sky, and a crowded night is spread over many tasks.
-    Null and NaN positions join with nothing.
+    Null and NaN positions join with nothing. Neither side is broadcast, however small it seems.
     """
     one = not isinstance(radius_deg, Column)
     levels = [max_radius_deg] if one else _levels(max_radius_deg)
@@ -66,7 +66,7 @@ def sky_join(left: DataFrame, right: DataFrame, radius_deg: Column | float, keys
     own = _cells_in_band(F.col("_band"), F.col("_height"))
     rs = rs.withColumn("_cell", F.least(own - 1, F.floor(F.col("ra") / 360 * own)).cast("int")).drop("ra", "dec", "_height")
     sep = separation("l.ra", "l.dec", "r.ra", "r.dec")
-    joined = ls.join(rs, [*names, "_level", "_band", "_cell"])
+    joined = ls.join(rs.hint("merge"), [*names, "_level", "_band", "_cell"])  # sizes behind an explode are underrated: no broadcast
     near = F.abs(F.col("l.dec") - F.col("r.dec")) <= F.col("_radius") + lit(SLACK_DEG)  # cheap test first
     return joined.where(near).withColumn("sep_deg", sep).where(F.col("sep_deg") <= F.col("_radius")).select("l", "r", "sep_deg")
 

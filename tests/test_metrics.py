@@ -119,6 +119,15 @@ def test_orbits_are_predicted_for_all_nights_of_alerts(spark, tmp_path):
     assert len(got) == 6 and {r.trajectory_id for r in got} == {7}
 
 
+def test_predictions_are_not_broadcast(spark, tmp_path):
+    """An orbit is a row for each night and cell, of which the size that Spark expects knows nothing."""
+    spark.createDataFrame([], "trajectory_id long, ref_epoch double, a double, e double, i double, long_node double, arg_peric double, mean_anomaly double").write.parquet(f"{tmp_path}/orbits.parquet")
+    spark.range(9).selectExpr("id as candid", "1D as ra", "2D as dec", "2459000.5D as jd", "cast(id as int) as nid", "1 as fid", "18D as magpsf", "cast(null as timestamp) as received_at", "1L as delivery_id").write.parquet(f"{tmp_path}/alerts.parquet")
+    found = ephemeris_alerts(spark, str(tmp_path))
+    assert "Broadcast" not in found._jdf.queryExecution().executedPlan().toString()
+    assert found.count() == 0 and "Broadcast" not in found._jdf.queryExecution().executedPlan().toString()
+
+
 def test_all_arcs_of_a_split_object_are_paired(spark, tmp_path):
     """Four arcs of one orbit, whose elements lie in a row: the nearest alone gives three of the six pairs."""
     elements = "a double, e double, i double, long_node double, arg_peric double, mean_anomaly double"
