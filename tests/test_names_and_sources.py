@@ -135,6 +135,17 @@ def test_many_arcs_are_fitted_at_once():
     assert np.mean([x[13] < 1 for x in found if x]) > 0.9
 
 
+def test_a_solver_of_many_is_given_whole_batches(spark):
+    def solver(jd, ra, dec):
+        raise AssertionError("one by one")
+
+    solver.many = lambda arcs: [None if len(jd) == 4 else [float(len(jd)), float(len(arcs)), *[1.0] * 12] for jd, _, _ in arcs]
+    points = spark.range(200).selectExpr("id as trajectory_id", "explode(sequence(1L, 2 + id % 3)) as n").selectExpr("trajectory_id", "n as candid", "n + 2459000D as jd", "1D as ra", "2D as dec")
+    got = fit_orbits(points, 3, solver).collect()
+    assert {(r.trajectory_id % 3, r.ref_epoch) for r in got} == {(1, 3.0), (2, FAILED)}
+    assert sorted(r.trajectory_id for r in got) == [k for k in range(200) if k % 3] and max(r.a for r in got) > 1
+
+
 def test_arcs_of_a_pair_count_a_shared_alert_once(spark):
     def solver(jd, ra, dec):
         return [float(len(jd)), *[1.0] * 12, float(np.all(np.diff(jd) >= 0))]
