@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from driftline import cli
 from driftline.functions import naming
 from driftline.functions.sky import difference_magnitude, ecliptic_to_galactic, galactic, lit, planar_angle, position_angle, separation, with_ephemeris
+from driftline.operators import orbit_fit
 from driftline.operators.follow_up import follow_up
 from driftline.operators.nightly import NightState
 from driftline.operators.orbit_fit import FAILED, OBLIQUITY_DEG, command_solver, earth, elements_position, fit_orbits, merge_orbits, two_body_fit, two_body_fits
@@ -135,6 +136,27 @@ def test_many_arcs_are_fitted_at_once():
     assert np.mean([x[13] < 1 for x in found if x]) > 0.9
 
 
+def test_arcs_of_all_lengths_are_fitted_together(monkeypatch):
+    """A task with few arcs of many lengths ran the least squares twice for each length."""
+    arcs = []
+    for k in range(60):
+        times = EPOCH + np.linspace(0, 20 + k % 7, 6 + k % 20)
+        arcs.append((times, *positions([2.2 + k / 60, 0.05 + k / 400, 3.0 + k / 4, 40.0, 70.0, 6.0 * k], times, EPOCH)))
+    alone, runs, fit = [two_body_fit(*arc) for arc in arcs], [], orbit_fit._least_squares
+    monkeypatch.setattr(orbit_fit, "_least_squares", lambda *args: runs.append(1) or fit(*args))
+    found = two_body_fits(arcs)
+    assert len(runs) == 1
+    for x, y in zip(found, alone):
+        assert x[:7] == pytest.approx(y[:7], rel=1e-4) and x[13] == pytest.approx(y[13], rel=1e-4, abs=1e-3)
+
+
+def test_arcs_longer_than_a_part_are_fitted():
+    times = EPOCH + np.linspace(0, 30, 20_000)
+    arcs = [(JD, *positions(EL, JD, EPOCH)), (times, *positions(EL, times, EPOCH)), (times, *positions(EL, times, EPOCH))]
+    found = two_body_fits(arcs)
+    assert [x[1] for x in found] == pytest.approx([2.7] * 3, rel=1e-3) and max(x[13] for x in found) < 1e-3
+
+
 def test_a_solver_of_many_is_given_whole_batches(spark):
     def solver(jd, ra, dec):
         raise AssertionError("one by one")
